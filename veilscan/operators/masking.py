@@ -136,13 +136,13 @@ def mask_findings(findings: DataFrame, key: Sequence[str] = ("path",)) -> DataFr
     texts = texts.distinct()
     # a set of small integers: it cannot outgrow the longest text
     lengths = values.agg(F.collect_set(F.length("value"))).scalar()
-    pieces = texts.withColumn(
+    pieces = texts.withColumn("_lengths", lengths).withColumn(
         "value",
         F.explode(
             F.array_distinct(
                 F.flatten(
                     F.transform(
-                        F.filter(lengths, lambda n: n <= F.length("text")),
+                        F.filter("_lengths", lambda n: n <= F.length("text")),
                         lambda n: F.transform(
                             F.sequence(F.lit(1), F.length("text") - n + 1),
                             lambda pos: F.substring(F.col("text"), pos, n),
@@ -151,7 +151,7 @@ def mask_findings(findings: DataFrame, key: Sequence[str] = ("path",)) -> DataFr
                 )
             )
         ),
-    )
+    ).drop("_lengths")
     hits = pieces.join(values, [*key, "value"])
     masked = (
         hits.groupBy(*key, "text")

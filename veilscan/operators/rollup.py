@@ -65,62 +65,51 @@ def coverage_status(
 
 
 def coverage_stats(coverage: DataFrame) -> DataFrame:
-    """One row of counters over ``path, status`` (and, where present, ``ocr``,
-    ``attachments`` and the attachment gap lists)."""
+    """One row of counters over ``path, status`` and, where present, ``ocr``
+    and ``attachments``.  Attachments that could not be searched have rows of
+    their own; an attachment that failed counts for no counter."""
 
     def column(name: str, default: Column) -> Column:
         return F.coalesce(F.col(name), default) if name in coverage.columns else default
 
-    def listed(name: str) -> Column:
-        return F.size(F.col(name)) if name in coverage.columns else F.lit(0)
-
     def status(name: str) -> Column:
         return F.count_if(F.col("status") == name)
 
     scanned = F.col("status") == "scanned"
-    extra = {
-        name: F.coalesce(F.sum(F.when(scanned, F.greatest(listed(name), F.lit(0)))), F.lit(0))
-        for name in ("att_needs_ocr", "att_unreadable")
-    }
+    read = F.sum(F.when(scanned, column("attachments", F.lit(0)).cast("long")))
     return coverage.agg(
         status("scanned").alias("files_scanned"),
         F.count_if(scanned & column("ocr", F.lit(False))).alias("files_ocr"),
         status("skipped").alias("files_skipped"),
-        (status("needs_ocr") + extra["att_needs_ocr"]).alias("files_need_ocr"),
+        status("needs_ocr").alias("files_need_ocr"),
         status("cloud").alias("files_cloud_skipped"),
         status("mail_store").alias("files_mail_skipped"),
-        (status("unreadable_doc") + extra["att_unreadable"]).alias("files_unreadable_docs"),
+        status("unreadable_doc").alias("files_unreadable_docs"),
         status("error").alias("files_errored"),
-        F.coalesce(F.sum(F.when(scanned, column("attachments", F.lit(0)))), F.lit(0)).alias(
-            "attachments_scanned"
-        ),
+        F.coalesce(read, F.lit(0)).alias("attachments_scanned"),
     )
 
 
 def coverage_lists(coverage: DataFrame) -> DataFrame:
-    """What was not searched, as sorted ``(gap, entry)`` rows.  Mail stores are
-    listed once per mailbox; attachments as ``store › subject › name``."""
-    from veilscan.sources.mail import mail_display_path
+    """What was not (or only partly) searched, as sorted ``(gap, entry)`` rows;
+    a mailbox is listed once, whatever the number of its files."""
     from veilscan.functions.scalars import one_line
+    from veilscan.sources.mail import mail_display_path
 
     error = F.col("error") if "error" in coverage.columns else F.lit(None).cast("string")
-    rows = coverage.where(F.col("status").isin(*GAPS)).select(
-        F.col("status").alias("gap"),
-        F.when(F.col("status") == "mail_store", mail_display_path(F.col("path")))
-        .when(F.col("status") == "error", F.concat_ws(": ", F.col("path"), one_line(error)))
-        .otherwise(F.col("path"))
+    status, path = F.col("status"), F.col("path")
+    partly = (status == "scanned") & error.isNotNull()
+    failed = status.isin("error", "attachment_error")
+    rows = coverage.where(status.isin(*GAPS, "attachment_error") | partly).select(
+        F.when(failed | partly, F.lit("error")).otherwise(status).alias("gap"),
+        F.when(status == "mail_store", mail_display_path(path))
+        .when(partly, F.concat(path, F.lit(": partially read: "), one_line(error)))
+        .when(failed, F.concat_ws(": ", path, one_line(error)))
+        .otherwise(path)
         .alias("entry"),
     )
-    mail = rows.where(F.col("gap") == "mail_store").distinct()
-    out = rows.where(F.col("gap") != "mail_store").unionByName(mail)
-    for name, gap in (("att_needs_ocr", "needs_ocr"), ("att_unreadable", "unreadable_doc"), ("att_errors", "error")):
-        if name in coverage.columns:
-            out = out.unionByName(
-                coverage.where(F.col("status") == "scanned").select(
-                    F.lit(gap).alias("gap"), F.explode(name).alias("entry")
-                )
-            )
-    return out.orderBy("gap", "entry")
+    mail = F.col("gap") == "mail_store"
+    return rows.where(~mail).unionByName(rows.where(mail).distinct()).orderBy("gap", "entry")
 
 
 def run_summary(

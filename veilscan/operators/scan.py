@@ -450,42 +450,46 @@ def scan_table(
     min_confidence: str | int = "low",
     exclude_emails: Sequence[str] = (),
     ocr: Column | None = None,
+    paged: Column | None = None,
     transform_findings=None,
 ) -> DataFrame:
     """Findings over a text column of any table, one row per finding.
 
+    ``ocr`` flags text read by OCR, ``paged`` text whose form feeds separate
+    pages (by default the same).
     ``transform_findings`` may rewrite the per-document array (masking) before
     it is exploded, where all findings of a document are still together.
     """
     chosen = registry.only(categories)
     text = F.col(text_col)
     is_ocr = F.lit(False) if ocr is None else F.coalesce(ocr, F.lit(False))
-    found = detect(text, chosen, min_confidence, exclude_emails, is_ocr if ocr is not None else None)
+    found = detect(text, chosen, min_confidence, exclude_emails, ocr if paged is None else paged)
     if transform_findings is not None:
         found = transform_findings(found)
     path = F.col(path_col) if path_col else F.col(id_col)
     # exploding the expression itself (not a column holding it) keeps Spark
     # from inferring a size() filter that would run the whole scan twice
     rows = df.where(chosen.could_match(text.cast("string"))).select(
-        F.col(id_col).cast("string").alias("doc_id"),
-        path.cast("string").alias("path"),
-        F.when(is_ocr, F.lit(True)).alias("ocr"),
+        # names no input column has: a lambda must not take them for its own
+        F.col(id_col).cast("string").alias("_doc_id"),
+        path.cast("string").alias("_path"),
+        F.when(is_ocr, F.lit(True)).alias("_ocr"),
         *[F.col(c) for c in keep],
-        F.explode(found).alias("f"),
+        F.explode(found).alias("_f"),
     )
     return rows.select(
-        "doc_id",
-        "path",
-        file_name(F.col("path")).alias("file_name"),
-        F.col("f.category").alias("category"),
-        category_slug(F.col("f.category")).alias("category_id"),
-        F.col("f.confidence").alias("confidence"),
-        F.col("f.line").alias("line"),
-        F.col("f.page").alias("page"),
-        F.col("f.match").alias("match"),
-        F.col("f.context").alias("context"),
-        "ocr",
-        F.col("f.start").alias("start"),
-        F.col("f.end").alias("end"),
+        F.col("_doc_id").alias("doc_id"),
+        F.col("_path").alias("path"),
+        file_name(F.col("_path")).alias("file_name"),
+        F.col("_f.category").alias("category"),
+        category_slug(F.col("_f.category")).alias("category_id"),
+        F.col("_f.confidence").alias("confidence"),
+        F.col("_f.line").alias("line"),
+        F.col("_f.page").alias("page"),
+        F.col("_f.match").alias("match"),
+        F.col("_f.context").alias("context"),
+        F.col("_ocr").alias("ocr"),
+        F.col("_f.start").alias("start"),
+        F.col("_f.end").alias("end"),
         *keep,
     )

@@ -8,8 +8,11 @@ are going to be scanned is read.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timezone
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,32 +61,52 @@ def _outermost(roots: Sequence[str]) -> list[str]:
     return [r for r in clean if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in clean)]
 
 
-def _hidden_roots(spark: SparkSession, root: str, depth: int) -> list[str]:
-    """Entries Spark's file index leaves out: names starting with '.' or '_'."""
+def _hidden(spark: SparkSession, root: str, depth: int) -> tuple[list[str], list[tuple]]:
+    """Entries Spark's file index leaves out, names starting with '.' or '_':
+    the directories, and (path, mtime, length) of the files."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, level = [], root.rstrip("/")
+    dirs, files, level = [], [], root.rstrip("/")
     for _ in range(depth):
         for status in fs.globStatus(path(level + "/{.,_}*")) or ():
-            if status.getPath().getName() != ".git":
-                found.append(status.getPath().toUri().getPath())
+            name = status.getPath().toUri().getPath() if "://" not in root else status.getPath().toString()
+            if status.isDirectory():
+                if status.getPath().getName() != ".git":
+                    dirs.append(name)
+            elif not status.isSymlink():
+                seconds = status.getModificationTime() / 1000
+                files.append((name, datetime.fromtimestamp(seconds, timezone.utc), status.getLen()))
         level += "/*"
-    return found
+    return dirs, files
+
+
+def _read_named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        contents = []
+        for path in batch["path"]:
+            uri = path if "://" in path else f"file://{path}"
+            fs, local = pyarrow.fs.FileSystem.from_uri(uri)
+            with fs.open_input_stream(local) as stream:
+                contents.append(stream.read())
+        yield batch.assign(content=contents)
 
 
 def read_files(spark: SparkSession, roots: Sequence[str], hidden_depth: int = 3) -> DataFrame:
     """All files below ``roots`` (a root may be one file): path,
     modificationTime, length, content.  A missing root fails.  Hidden names are
     looked for ``hidden_depth`` levels deep."""
-    paths = []
+    paths, hidden = [], []
     for root in _outermost(roots):
-        paths.append(root)
-        paths.extend(_hidden_roots(spark, root, hidden_depth))
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(paths)))
-    )
-    return files.withColumn("path", local_path(F.col("path")))
+        dirs, files = _hidden(spark, root, hidden_depth)
+        paths += [root, *dirs]
+        hidden += files
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(paths)))
+    found = found.select(local_path(F.col("path")).alias("path"), "modificationTime", "length", "content")
+    if hidden:
+        named = spark.createDataFrame(hidden, "path string, modificationTime timestamp, length bigint")
+        found = found.unionByName(named.mapInPandas(_read_named, found.schema))
+    return found
 
 
 def clean_excludes(patterns: Sequence[str]) -> list[str]:
@@ -253,7 +276,9 @@ def decode_text(content: Column, decoded16: Column, order: Column) -> Column:
     return F.when(order.isNotNull(), F.encode(decoded16, "UTF-8")).otherwise(content)
 
 
-def extract_text(files: DataFrame, *, ocr_text: DataFrame | None = None) -> DataFrame:
+def extract_text(
+    files: DataFrame, *, ocr_text: DataFrame | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Add ``status``, ``text`` (bytes), ``ocr`` and ``error`` to files with
     ``path, length, content, kind, excluded, oversize``.
 
@@ -300,6 +325,7 @@ def extract_text(files: DataFrame, *, ocr_text: DataFrame | None = None) -> Data
     return out.select(
         "path",
         "length",
+        *keep,
         status.alias("status"),
         F.when(given.isNotNull(), given.cast("binary")).otherwise(text).alias("text"),
         given_ocr.alias("ocr"),

@@ -8,6 +8,7 @@ from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_TEXT = 512 << 20  # bytes of text one document may expand to
 
@@ -116,7 +117,10 @@ def document_text(kind: str, data: bytes) -> str:
     return "".join(sink.parts)
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+
+
+@F.pandas_udf(_RESULT)
 def office_text(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
     """Extracted text, or why there is none.  Rows without a kind cost nothing."""
     texts, errors = [], []
