@@ -36,7 +36,7 @@ def spread(df: DataFrame, *keys: str, small_bytes: int = 1 << 30) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > small_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

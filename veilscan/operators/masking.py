@@ -19,6 +19,9 @@ from veilscan.functions.storage import materialize
 from veilscan.operators.detectors import PLAIN_CATEGORIES
 
 
+PREFIX = 4  # characters by which places in a text are matched with values
+
+
 def is_plain(category: Column) -> Column:
     return category.isin(*PLAIN_CATEGORIES)
 
@@ -103,10 +106,9 @@ def mask_findings(findings: DataFrame, key: Sequence[str] = ("path",)) -> DataFr
     """Mask a findings table in which the findings of one document (or of one
     mail store, however large) are spread over many rows.
 
-    Nothing is grouped per document.  The text pieces of the lengths that
-    occur among the values are joined with the values by equality, which finds
-    every value a text holds and no other, and spreads by piece rather than by
-    document.
+    Nothing is grouped per document.  Pieces cut from the texts are joined with
+    the values by equality, which finds every value a text holds and no other,
+    and spreads by piece rather than by document.
     """
     key = list(key)
     findings = materialize(findings)
@@ -134,24 +136,40 @@ def mask_findings(findings: DataFrame, key: Sequence[str] = ("path",)) -> DataFr
         part = findings.select(*key, F.col(name).alias("text")).where(F.col("text") != "")
         texts = part if texts is None else texts.unionByName(part)
     texts = texts.distinct()
-    # a set of small integers: it cannot outgrow the longest text
-    lengths = values.agg(F.collect_set(F.length("value"))).scalar()
-    pieces = texts.withColumn("_lengths", lengths).withColumn(
-        "value",
-        F.explode(
-            F.array_distinct(
+    # positions where some value of the document may start (by its first
+    # characters), then only pieces of the lengths such values have
+    start = F.least(F.length("value"), F.lit(PREFIX))
+    prefixes = (
+        values.withColumn("prefix", F.substring(F.col("value"), F.lit(1), start))
+        .groupBy(*key, "prefix")
+        .agg(F.collect_set(F.length("value")).alias("lengths"))
+    )
+    sizes = values.agg(F.collect_set(start)).scalar()  # some of 1..PREFIX
+    text = F.col("text")
+    places = (
+        texts.withColumn("_sizes", sizes)
+        .withColumn(
+            "place",
+            F.explode(
                 F.flatten(
                     F.transform(
-                        F.filter("_lengths", lambda n: n <= F.length("text")),
+                        F.filter("_sizes", lambda n: n <= F.length(text)),
                         lambda n: F.transform(
-                            F.sequence(F.lit(1), F.length("text") - n + 1),
-                            lambda pos: F.substring(F.col("text"), pos, n),
+                            F.sequence(F.lit(1), F.length(text) - n + 1),
+                            lambda pos: F.struct(pos.alias("pos"), F.substring(text, pos, n).alias("prefix")),
                         ),
                     )
                 )
-            )
-        ),
-    ).drop("_lengths")
+            ),
+        )
+        .select(*key, "text", "place.pos", "place.prefix")
+    )
+    pieces = (
+        places.join(prefixes, [*key, "prefix"])
+        .select(*key, "text", "pos", F.explode("lengths").alias("n"))
+        .select(*key, "text", F.substring(text, F.col("pos"), F.col("n")).alias("value"))
+        .distinct()
+    )
     hits = pieces.join(values, [*key, "value"])
     masked = (
         hits.groupBy(*key, "text")

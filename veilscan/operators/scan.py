@@ -359,10 +359,14 @@ def detect(
     exclude_emails: Sequence[str] = (),
     paged: Column | None = None,
 ) -> Column:
-    """All findings of one document as an array of structs.
+    """All findings of one document as an array of structs; null when a first
+    look rules out that there are any.
 
     ``content`` is STRING or BINARY.  ``paged`` marks documents whose form
     feeds separate pages (OCR output, attachments); the others carry no page.
+    The first look is part of the expression rather than a filter below it: a
+    filter would be pushed through the projection that computes ``content``
+    and compute it once more for every detector.
     """
     floor = parse_confidence(min_confidence)
     emails = normalize_email_excludes(exclude_emails)
@@ -411,7 +415,10 @@ def detect(
             end.alias("end"),
         )
 
-    return let(content.cast("binary"), on_raw)
+    return let(
+        content,
+        lambda doc: F.when(registry.could_match(doc.cast("string")), let(doc.cast("binary"), on_raw)),
+    )
 
 
 def with_findings(
@@ -423,19 +430,17 @@ def with_findings(
     min_confidence: str | int = "low",
     exclude_emails: Sequence[str] = (),
     paged: Column | None = None,
-    prefilter: bool = True,
+    only_hits: bool = False,
     name: str = "findings",
 ) -> DataFrame:
     """``df`` plus an array of findings per row, without the text itself.
 
-    With ``prefilter`` rows in which nothing can match are dropped right above
-    the file scan; otherwise they stay, with an empty array.
+    With ``only_hits`` rows without findings are dropped, otherwise they stay
+    with an empty array.
     """
-    chosen = registry.only(categories)
-    if prefilter:
-        df = df.where(chosen.could_match(F.col(text).cast("string")))
-    found = detect(F.col(text), chosen, min_confidence, exclude_emails, paged)
-    return df.select(*[c for c in df.columns if c != text], found.alias(name))
+    found = detect(F.col(text), registry.only(categories), min_confidence, exclude_emails, paged)
+    out = df.select(*[c for c in df.columns if c != text], F.coalesce(found, F.array()).alias(name))
+    return out.where(F.size(name) > 0) if only_hits else out
 
 
 def scan_table(
@@ -469,7 +474,7 @@ def scan_table(
     path = F.col(path_col) if path_col else F.col(id_col)
     # exploding the expression itself (not a column holding it) keeps Spark
     # from inferring a size() filter that would run the whole scan twice
-    rows = df.where(chosen.could_match(text.cast("string"))).select(
+    rows = df.select(
         # names no input column has: a lambda must not take them for its own
         F.col(id_col).cast("string").alias("_doc_id"),
         path.cast("string").alias("_path"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.arrays import let
 from veilscan.functions.scalars import file_name
-from veilscan.sources.mail import is_mail_store
+from veilscan.sources.mail import MAIL_STORES, MESSAGE_FILES
 from veilscan.sources.office import office_text
 
 PROBE_BYTES = 8192
@@ -213,21 +213,23 @@ def limit_size(files: DataFrame, max_mb: int = 50) -> DataFrame:
     return files.where(F.col("length") <= max_mb * 1024 * 1024)
 
 
+_KINDS = {
+    **dict.fromkeys(TEXT, "text"),
+    **dict.fromkeys(BINARY, "binary"),
+    **dict.fromkeys(UNREADABLE_DOCS, "unreadable_doc"),
+    **dict.fromkeys(IMAGES, "image"),
+    ".pdf": "pdf",
+    **OFFICE,
+    **dict.fromkeys(MAIL_STORES + MESSAGE_FILES, "mail_store"),
+}
+
+
 def classify_file(path: Column) -> Column:
     """What a file is, by name: ``docx``/``xlsx``/``pptx``, ``pdf``, ``image``,
-    ``unreadable_doc``, ``binary``, ``text``, or ``sniff`` (look inside)."""
-    ext = extension(path)
-    kind = F.when(is_mail_store(path), "mail_store")
-    for suffix, name in OFFICE.items():
-        kind = kind.when(ext == suffix, name)
-    return (
-        kind.when(ext == ".pdf", "pdf")
-        .when(ext.isin(*IMAGES), "image")
-        .when(ext.isin(*UNREADABLE_DOCS), "unreadable_doc")
-        .when(ext.isin(*BINARY), "binary")
-        .when(ext.isin(*TEXT), "text")
-        .otherwise("sniff")
-    )
+    ``unreadable_doc``, ``binary``, ``mail_store``, ``text``, or ``sniff``
+    (look inside)."""
+    kinds = F.create_map(*[F.lit(part) for pair in _KINDS.items() for part in pair])
+    return F.coalesce(F.try_element_at(kinds, extension(path)), F.lit("sniff"))
 
 
 def _probe(content: Column) -> Column:
