@@ -79,26 +79,33 @@ class Detector:
     def keyword_java(self) -> str:
         return to_java(self.keywords, "byte")
 
-    def could_match(self, text: Column, view: str = "char") -> Column:
-        """True for every document in which this detector finds something."""
+    def could_match(self, text: Column, view: str = "char", search: bool = True) -> Column:
+        """True for every document in which this detector finds something.
+        Without ``search`` a lone regex is left out: the caller runs it anyway."""
         checks = []
         if self.literals:
             checks.append(any_of([text.contains(literal) for literal in self.literals]))
         if self.needs:
             checks.append(text.rlike(self.needs))
-        checks.append(text.rlike(self.java(view)))
-        if self.keywords and self.need_keyword:
+        gated = bool(self.keywords and self.need_keyword)
+        if search or gated:
+            checks.append(text.rlike(self.java(view)))
+        if gated:
             # without \b: the edge of the keyword window is a boundary, too
             checks.append(text.rlike(to_java(without_boundaries(self.keywords), view)))
-        return reduce(and_, checks)
+        return reduce(and_, checks) if checks else F.lit(True)
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(or_, conditions)
 
 
-def _digit(category: str, regex: str, first: str | None = "[0-9]", **kw) -> Detector:
-    return Detector(category, regex, hint=(("0-9", "[0-9]"),), first=first, word_edges=True, **kw)
+# single characters: Java tests them with one table lookup, ranges one by one
+DIGIT = "[0123456789]"
+
+
+def _digit(category: str, regex: str, first: str | None = DIGIT, **kw) -> Detector:
+    return Detector(category, regex, hint=(("0123456789", DIGIT),), first=first, word_edges=True, **kw)
 
 
 def _phrase(category: str, regex: str, *hint: tuple[str, str], **kw) -> Detector:
@@ -113,7 +120,7 @@ DEFAULT_DETECTORS: tuple[Detector, ...] = (
     _digit(P.CREDIT_CARD, P.RE_CARD, base=HIGH, boosted=HIGH, narrow_card=True),
     Detector(P.EMAIL, P.RE_EMAIL, hint=(("@", "@"),), literals=("@",), word_edges=True,
              run_of=r"[A-Za-z0-9._%+\-]"),
-    _digit(P.PHONE, P.RE_PHONE, "[0-9+(]", keywords=P.KW_PHONE, boosted=HIGH),
+    _digit(P.PHONE, P.RE_PHONE, "[0123456789+(]", keywords=P.KW_PHONE, boosted=HIGH),
     _digit(P.DATE_OF_BIRTH, P.RE_DATE, "[0-9JFMASONDjfmasond]", needs="[0-9]{2}", keywords=P.KW_DOB,
            need_keyword=True, boosted=HIGH),
     _digit(P.DRIVERS_LICENSE, P.RE_LICENSE, None, needs="[0-9]{4}", keywords=P.KW_LICENSE, need_keyword=True),

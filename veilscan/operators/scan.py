@@ -9,7 +9,9 @@ are byte offsets into the document.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +84,7 @@ def narrow_cards(run: Column) -> Column:
     leftmost, then longest, valid sequence is the card and the search resumes
     behind it, or behind the whole sequence when none is valid.
     """
-    glued = run["v"].rlike("[A-Za-z_]$")  # the last group continues as a word
     groups = F.regexp_extract_all(run["v"], F.lit("[0-9]+"), 0)
-    groups = F.when(glued, let(groups, lambda g: F.slice(g, 1, F.size(g) - 1))).otherwise(groups)
 
     def of_groups(group: Column) -> Column:
         ends = running_states(group, F.lit(-1), lambda pos, g: pos + 1 + F.length(g))
@@ -166,9 +166,12 @@ def narrow_cards(run: Column) -> Column:
 
 
 def _card_spans(view: Column) -> Column:
-    runs = F.filter(
-        find_spans(view, _DIGIT_RUN), lambda run: F.length(F.translate(run["v"], " -", "")) >= 13
+    # a last group that goes on as a word is not part of the run
+    whole = F.transform(
+        find_spans(view, _DIGIT_RUN),
+        lambda run: run.withField("v", F.regexp_replace(run["v"], "[ -]?[0-9]+[A-Za-z_]$", "")),
     )
+    runs = F.filter(whole, lambda run: F.length(F.translate(run["v"], " -", "")) >= 13)
     return F.flatten(F.transform(runs, narrow_cards))
 
 
@@ -276,7 +279,7 @@ def _scored(raw: Column, view: Column, registry: Registry) -> Column:
     sources = [
         F.struct(
             F.lit(pos).alias("d"),
-            F.when(det.could_match(view, "byte"), _pieces(view, det.java("byte"))).alias("pieces"),
+            F.when(det.could_match(view, "byte", search=False), _pieces(view, det.java("byte"))).alias("pieces"),
         )
         for pos, det in enumerate(detectors)
         if not det.narrow_card
@@ -369,7 +372,7 @@ def detect(
     and compute it once more for every detector.
     """
     floor = parse_confidence(min_confidence)
-    emails = normalize_email_excludes(exclude_emails)
+    emails = tuple(normalize_email_excludes(exclude_emails))
     with_pages = F.lit(False) if paged is None else F.coalesce(paged, F.lit(False))
 
     def on_raw(raw: Column) -> Column:
@@ -421,6 +424,14 @@ def detect(
     )
 
 
+@lru_cache(maxsize=64)
+def _detect_named(text_col, detectors, floor, emails, transform_findings, _context) -> Column:
+    """The expression refers to its column by name, so it serves any table;
+    building it takes a few thousand calls into the JVM."""
+    found = detect(F.col(text_col), Registry(detectors), floor, emails)
+    return found if transform_findings is None else transform_findings(found)
+
+
 def with_findings(
     df: DataFrame,
     text: str,
@@ -468,9 +479,16 @@ def scan_table(
     chosen = registry.only(categories)
     text = F.col(text_col)
     is_ocr = F.lit(False) if ocr is None else F.coalesce(ocr, F.lit(False))
-    found = detect(text, chosen, min_confidence, exclude_emails, ocr if paged is None else paged)
-    if transform_findings is not None:
-        found = transform_findings(found)
+    pages = ocr if paged is None else paged
+    if pages is None:
+        found = _detect_named(
+            text_col, chosen.detectors, parse_confidence(min_confidence), tuple(exclude_emails),
+            transform_findings, id(SparkContext._active_spark_context),
+        )
+    else:
+        found = detect(text, chosen, min_confidence, exclude_emails, pages)
+        if transform_findings is not None:
+            found = transform_findings(found)
     path = F.col(path_col) if path_col else F.col(id_col)
     # exploding the expression itself (not a column holding it) keeps Spark
     # from inferring a size() filter that would run the whole scan twice
