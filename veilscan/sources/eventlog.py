@@ -25,7 +25,8 @@ def from_lines(lines: DataFrame, fmt: EventFormat = DEFAULT_FORMAT) -> DataFrame
 
 
 def read_events(spark: SparkSession, path: str, fmt: EventFormat = DEFAULT_FORMAT) -> DataFrame:
-    return from_lines(spark.read.text(path), fmt)
+    """All events of a log, in its folder or in folders below it."""
+    return from_lines(spark.read.option("recursiveFileLookup", True).text(path), fmt)
 
 
 def only_findings(events: DataFrame) -> DataFrame:

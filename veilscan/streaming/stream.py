@@ -3,6 +3,8 @@ documents needs no state: its findings leave with the micro-batch it came in."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,16 +66,31 @@ def scan_stream(
     )
 
 
-def event_sink(findings: DataFrame, host: Column, path: str, checkpoint: str, *, masked: bool = True,
-               fmt: EventFormat = DEFAULT_FORMAT, available_now: bool = False):
-    """Append finding events to a log, each exactly once; event time is the
-    time the micro-batch was written."""
+def event_sink(
+    findings: DataFrame,
+    host: Column,
+    path: str,
+    checkpoint: str,
+    *,
+    masked: bool = True,
+    fmt: EventFormat = DEFAULT_FORMAT,
+    available_now: bool = False,
+):
+    """Append finding events to a log; event time is the time of writing.
+
+    Every micro-batch has a folder of its own in the log.  One that is run
+    again after a failure replaces its folder, so no event is logged twice.
+    """
     events = to_events(findings, F.current_timestamp(), host, masked=masked, fmt=fmt)
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").text(f"{path}/stream-{source}-{batch_id:012d}")
+
     writer = (
         events.select(event_json(events, fmt).alias("value"))
-        .writeStream.format("text")
+        .writeStream.foreachBatch(write)
         .outputMode("append")
-        .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -98,12 +115,12 @@ def finish(
     tail = union_events(
         needs_ocr_events(gaps, now, host, fmt=fmt), summary_event(summary, now, host, fmt=fmt)
     )
-    tail.select(event_json(tail, fmt).alias("value")).write.mode("append").text(path)
+    tail.select(event_json(tail, fmt).alias("value")).write.text(f"{path}/finish-{uuid.uuid4().hex}")
 
 
 def tail_events(spark: SparkSession, path: str, fmt: EventFormat = DEFAULT_FORMAT) -> DataFrame:
     """Follow an event log and raise alerts, event by event."""
-    return assign_alerts(from_lines(spark.readStream.text(path), fmt))
+    return assign_alerts(from_lines(spark.readStream.option("recursiveFileLookup", True).text(path), fmt))
 
 
 class Progress(StreamingQueryListener):
