@@ -31,7 +31,7 @@ def running_states(items: Column, zero: Column, step: Callable[[Column, Column],
         return F.aggregate(
             chunk,
             F.array(carry),
-            lambda states, item: F.concat(states, F.array(step(last(states), item))),
+            lambda states, item: F.array_append(states, step(last(states), item)),
         )
 
     def chunked(values: Column) -> Column:
@@ -42,13 +42,11 @@ def running_states(items: Column, zero: Column, step: Callable[[Column, Column],
         walked = F.aggregate(
             chunks,
             F.array(F.array(zero)),
-            lambda done, chunk: F.concat(done, F.array(walk(chunk, last(last(done))))),
+            lambda done, chunk: F.array_append(done, walk(chunk, last(last(done)))),
         )
         return F.flatten(F.transform(tail(walked), tail))
 
     return let(
         items,
-        lambda values: F.when(F.size(values) > 0, chunked(values)).otherwise(
-            F.slice(F.array(zero), 1, 0)
-        ),
+        lambda values: F.when(F.size(values) > _CHUNK, chunked(values)).otherwise(tail(walk(values, zero))),
     )

@@ -28,8 +28,11 @@ CONTEXT_RADIUS = 60  # bytes of context shown on each side of a match
 _MARK = "Ā"  # cannot occur in the byte view, whose characters end at U+00FF
 _ELLIPSIS = "…"
 
-# Unicode white space, as trimmed from a snippet
-_UNICODE_SPACE = r"[\s\u0085   -     　]"
+# fixed value: Unicode white space other than control characters
+_UNICODE_SPACE = (
+    " \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # a maximal run of digit groups joined by single spaces or hyphens; the
 # possessive quantifiers keep Java from recursing on long runs
@@ -206,9 +209,7 @@ def context_snippet(raw: Column, start: Column, end: Column, value: Column) -> C
             .otherwise(F.substring_index(a, "\n", 1))
         )
         shown = F.regexp_replace(F.concat(left, value, right), "[\\x00-\\x1F]", " ")
-        shown = F.regexp_replace(
-            from_bytes_view(shown), f"^{_UNICODE_SPACE}+|{_UNICODE_SPACE}+\\z", ""
-        )
+        shown = F.trim(from_bytes_view(shown), F.lit(_UNICODE_SPACE))
         return F.concat(
             F.when(cut_left, F.lit(_ELLIPSIS)).otherwise(F.lit("")),
             shown,
@@ -259,13 +260,17 @@ def dedupe_spans(matches: Column, reach: int) -> Column:
     """
 
     def repeated(m: Column, i: Column) -> Column:
+        def same_span(p: Column) -> Column:
+            return (p["start"] == m["start"]) & (p["neg_end"] == m["neg_end"])
+
         earlier = F.slice(matches, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
-        return F.exists(
+        beaten = F.exists(
             earlier,
-            lambda p: (p["start"] == m["start"])
-            & (p["neg_end"] == m["neg_end"])
+            lambda p: same_span(p)
             & ((p["neg_conf"] < m["neg_conf"]) | (p["category"] == m["category"])),
         )
+        # most spans have no neighbour: only then look further back
+        return F.when(same_span(F.get(matches, i - 1)), beaten).otherwise(F.lit(False))
 
     return F.filter(matches, lambda m, i: ~repeated(m, i))
 
