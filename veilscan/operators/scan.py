@@ -505,6 +505,11 @@ def scan_table(
         *[F.col(c) for c in keep],
         F.explode(found).alias("_f"),
     )
+    return _finding_columns(rows, keep)
+
+
+def _finding_columns(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns of a findings table from ``_doc_id, _path, _ocr, _f``."""
     return rows.select(
         F.col("_doc_id").alias("doc_id"),
         F.col("_path").alias("path"),
@@ -521,3 +526,15 @@ def scan_table(
         F.col("_f.end").alias("end"),
         *keep,
     )
+
+
+def explode_findings(df: DataFrame, id_col: str, findings: str, ocr: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """A findings table from a stored column of findings arrays."""
+    rows = df.select(
+        F.col(id_col).cast("string").alias("_doc_id"),
+        F.col(id_col).cast("string").alias("_path"),
+        F.when(ocr, F.lit(True)).alias("_ocr"),
+        *keep,
+        F.explode(findings).alias("_f"),
+    )
+    return _finding_columns(rows, keep)

@@ -11,8 +11,8 @@ from veilscan.functions.storage import materialize
 from veilscan.operators.detectors import DEFAULT, Registry
 from veilscan.operators.masking import attach_secrets, mask_findings
 from veilscan.operators.rollup import sort_findings
-from veilscan.operators.scan import scan_table
-from veilscan.sources.credentials import credential_secrets
+from veilscan.operators.scan import detect, explode_findings
+from veilscan.sources.credentials import credential_secrets, names_secrets
 from veilscan.sources.files import classify_file, exclude_paths, extract_text, read_files, too_large
 from veilscan.sources.mail import is_mail_store
 from veilscan.sources.manifest import ScanSettings
@@ -75,21 +75,24 @@ def scan_files(
     columns = ["path", "length", "kind", "excluded", "oversize"]
     unopened = listing.where(~(opened & within)).select(*columns, no_content)
     readable = listing.where(opened & within).select(*columns, "content")
-    # extracted once: findings, coverage and secrets all come from it
-    documents = materialize(extract_text(readable.unionByName(unopened), ocr_text=ocr_text))
-    scanned = documents.where(F.col("status") == "scanned")
-    findings = scan_table(
-        scanned,
-        "path",
-        "text",
-        registry=registry,
-        categories=settings.categories,
-        min_confidence=settings.min_confidence,
-        exclude_emails=settings.exclude_emails,
-        ocr=F.col("ocr"),
+    documents = extract_text(readable.unionByName(unopened), ocr_text=ocr_text)
+    scanned = F.col("status") == "scanned"
+    found = detect(
+        F.col("text"),
+        registry.only(settings.categories),
+        settings.min_confidence,
+        settings.exclude_emails,
+        F.col("ocr"),
+    )
+    # one pass over the contents; what is kept of it - findings, and the text
+    # of credential exports with findings - is small
+    results = materialize(
+        documents.withColumn("found", F.when(scanned, found))
+        .withColumn("export", F.when(names_secrets(F.col("path"), F.col("text")) & F.col("found").isNotNull(), F.col("text")))
+        .select("path", "status", "error", "ocr", "found", "export")
     )
     return ScanRun(
-        findings=materialize(findings),
-        coverage=documents.select("path", "status", "error", "ocr"),
-        secrets=credential_secrets(scanned),
+        findings=explode_findings(results, "path", "found", F.col("ocr")),
+        coverage=results.select("path", "status", "error", "ocr"),
+        secrets=credential_secrets(results.where(F.col("export").isNotNull()), text="export"),
     )

@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SECRET_BYTES = 4
@@ -58,13 +58,16 @@ def _per_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "line", "value"])
 
 
+def names_secrets(path: Column, text: Column) -> Column:
+    """A ``.csv`` file that somewhere holds the name of a secret column."""
+    return F.lower(path).endswith(".csv") & text.cast("string").rlike("(?i)password|otpauth|totp")
+
+
 def credential_secrets(documents: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``path, line, value`` of the secrets in ``.csv`` documents.  Files that
     nowhere hold the name of a secret column never reach Python."""
-    content = F.make_valid_utf8(F.col(text).cast("string"))
-    named = content.rlike("(?i)password|otpauth|totp")
     return (
-        documents.where(F.lower(F.col(path)).endswith(".csv") & named)
-        .select(F.col(path).alias("path"), content.alias("text"))
+        documents.where(names_secrets(F.col(path), F.col(text)))
+        .select(F.col(path).alias("path"), F.make_valid_utf8(F.col(text).cast("string")).alias("text"))
         .mapInPandas(_per_file, "path string, line int, value string")
     )
