@@ -245,7 +245,7 @@ def parse_cef(lines: DataFrame, value: str = "value") -> DataFrame:
     payloads are read as well.
     """
     line = F.col(value)
-    part = r"((?:[^|\\]|\\.)*)"
+    part = r"((?:[^|\\]++|\\.)*+)"
     header = rf"(?s)CEF:0\|{part}\|{part}\|{part}\|{part}\|{part}\|(\d+)\|(.*)\z"
 
     def head(i: int) -> Column:
