@@ -19,10 +19,14 @@ BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ship the package to the workers and keep Arrow batches small."""
+    """Ship the package to the workers, keep Arrow batches small, and let
+    shuffle files go when the query that wrote them has ended (what is needed
+    again is kept as a table)."""
     ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

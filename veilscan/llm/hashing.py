@@ -24,6 +24,9 @@ _BASE = U(0x9E3779B97F4A7C15)
 _RUN = U(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII character but letters and digits, for terms without punctuation.
+_BETWEEN = _SPACE.copy()
+_BETWEEN[:128] = [not chr(c).isalnum() for c in range(128)]
 _LOW_BITS = 12
 _POWERS = np.full(1 << _LOW_BITS, _BASE, dtype=np.uint64)
 _POWERS[0] = 1
@@ -58,13 +61,21 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """Words of a column: byte spans, hashes, and for each row the range
-    ``rows[i]:rows[i + 1]`` of its words."""
+    ``rows[i]:rows[i + 1]`` of its words. With ``terms`` all ASCII characters
+    but letters and digits separate, else white space does."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, terms: bool = False):
         self.bytes, self.offsets = text_buffer(column)
-        self.starts, self.ends = _spans(self.bytes, self.offsets)
+        self.starts, self.ends = _spans(self.bytes, self.offsets, _BETWEEN if terms else _SPACE)
         self.rows = np.searchsorted(self.starts, self.offsets)
-        self.hashes = _word_hashes(self.bytes, self.starts, self.ends, _LOWER if lower else _CODES)
+        self.codes = _LOWER if lower else _CODES
+        self.hashes = _word_hashes(self.bytes, self.starts, self.ends, self.codes)
+
+    def beginnings(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word, apart from those of
+        whole words and of other sizes."""
+        ends = np.minimum(self.ends, self.starts + size)
+        return mix64(_word_hashes(self.bytes, self.starts, ends, self.codes) + _of_length(size))
 
     def runs(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; entry i is meaningless where
@@ -72,9 +83,9 @@ class Words:
         return mix64(run_sums(self.hashes, k) + _of_length(k))
 
 
-def _spans(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spans(buffer: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = len(buffer)
-    inside = ~_SPACE[buffer]
+    inside = ~between[buffer]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     closes = inside.copy()

@@ -36,6 +36,8 @@ COUNT_SLOTS = 1 << 18
 COUNT_CHUNK = 1 << 12
 #: Bits of the narrow sketches that are compared before the sets are.
 NARROW_BITS = 4096
+#: Pairs up to this number are sent to the texts; more meet them in a shuffle.
+SMALL_ROWS = 500_000
 #: Members of a pair's first document that one task's group may hold.
 GROUP = 512
 
@@ -310,7 +312,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("slots"))
     second = pairs.join(slots, "a").selectExpr("b id", "a", "cast(pmod(xxhash64(b), slots) as int) slot", "1 role")
     first = slots.selectExpr("a id", "a", "explode(sequence(0, slots - 1)) slot", "0 role")
-    rows = second.unionByName(first).join(docs.select("id", "text"), "id")
+    needed = keep(second.unionByName(first))
+    if needed.count() <= SMALL_ROWS:  # ids only: a few MB
+        needed = F.broadcast(needed)
+    rows = docs.select("id", "text").join(needed, "id")
     rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "role", "id")
     return rows.select("a", "slot", "role", "id", "text").mapInArrow(_compared(words, percent), "a long, b long").distinct()
 
