@@ -7,8 +7,8 @@ phase moves them, two constraints wide (words and documents), through the null
 space of the constraints until all but two of a group are 0 or 1; the sums stay
 exact. Groups hold a bounded number of documents, and what is left of all
 groups is flown again in groups, level by level, until one small landing
-problem per source remains. Its last two documents drop the constraint on
-documents first, then the one on words.
+problem per source remains: a dozen documents, of which the choice is taken
+that comes nearest to their expected totals.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from veilscan.llm.common import WORD, keep, prepare
 
 #: Documents of a group in the flight phase.
 GROUP = 4000
+#: Documents of a source's landing problem, which tries all choices of them.
+LANDING = 13
 #: Fractions nearer than this to 0 or 1 count as that.
 _EPS = 1e-9
 
@@ -47,7 +49,7 @@ def mix(
     sizes; a target stops at ``limit`` times its source's size and the excess
     goes to the others by weight. copies is 0, 1 or up to ``limit`` whole takings
     of the document, taken = copies * size, and the takings of a source add up
-    to its target but for less than one document. Texts without words are
+    to its target but for what a dozen whole documents cannot express. Texts without words are
     sampled for the document balance and add nothing. Equal rows are decided
     one by one. Null ids are kept. An empty table gives an empty result. Other
     columns are ignored; reruns agree whatever the partitions.
@@ -144,32 +146,33 @@ def _flight(final: bool):
 
 def balanced(size: np.ndarray, part: np.ndarray, final: bool, seed: int) -> np.ndarray:
     """Probabilities after the flight: all but two are 0 or 1, the sums of
-    part and of part * size are kept; with ``final`` the last two are settled."""
+    part and of part * size are kept. With ``final`` the flight ends LANDING
+    units early and these are settled together."""
     coin = np.random.Generator(np.random.PCG64(abs(seed))).random
     part = np.where(part < _EPS, 0.0, np.where(part > 1 - _EPS, 1.0, part))
-    open_ = [i for i in range(len(part)) if 0 < part[i] < 1][::-1]
+    waiting = np.flatnonzero((part > 0) & (part < 1)).tolist()[::-1]
     held: list[int] = []
-    while True:
-        while open_ and len(held) < 3:
-            held.append(open_.pop())
-        if len(held) == 3:
-            a, b, c = (size[i] for i in held)
-            way = (b - c, c - a, a - b)  # keeps the number and the words
-            if not any(way):
-                way = (1.0, -1.0, 0.0)
-        elif final and len(held) == 2:
-            a, b = (size[i] for i in held)
-            way = (b, -a) if a or b else (1.0, -1.0)  # keeps the words
-        elif final and len(held) == 1:
-            part[held[0]] = float(coin() < part[held[0]])
-            break
-        else:
-            break
-        _step(part, held, way, coin())
+    while len(held) + len(waiting) > (LANDING if final else 2):
+        while len(held) < 3:
+            held.append(waiting.pop())
+        a, b, c = (size[i] for i in held)
+        way = (b - c, c - a, a - b)  # keeps the number and the words
+        _step(part, held, way if any(way) else (1.0, -1.0, 0.0), coin())
         held = [i for i in held if 0 < part[i] < 1]
+    if final and (held or waiting):
+        _land(size, part, np.array(held + waiting))
     return part
 
 
+def _land(size: np.ndarray, part: np.ndarray, at: np.ndarray) -> None:
+    """Take the choice among the last units that comes nearest to their
+    expected words, and then to their expected number."""
+    choices = (np.arange(1 << len(at))[:, None] >> np.arange(len(at))) & 1
+    words = np.abs(choices @ size[at] - part[at] @ size[at])
+    number = np.abs(choices.sum(axis=1) - part[at].sum())
+    part[at] = choices[np.argmin(words + number)]
+
+
 def _step(part: np.ndarray, held: list[int], way: tuple[float, ...], draw: float) -> None:
     """Move along ``way`` or against it to the first bound, with chances that
     keep every probability's mean."""

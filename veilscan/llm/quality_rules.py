@@ -19,7 +19,7 @@ from veilscan.llm.common import SEPARATORS, keep, prepare
 
 #: Rows, at most about, on which costs and rejections are measured.
 SAMPLE_ROWS = 2000
-_SPACE = " \\t\\n\\u000B\\f\\r"
+_SPACE = " \\t\\n\\u000B\\u000C\\r"
 _RUN = 8
 
 
@@ -71,7 +71,10 @@ def measured(docs: DataFrame, id_col: str, text_col: str, measures) -> DataFrame
         out = out.withColumn("lines", F.expr(f"filter(split(text, '\\n'), line -> translate(line, '{_SPACE}', '') <> '')"))
     if "n_repeat_words" in names:
         out = _with_repeats(out)
-    return out.select("id", *[F.expr(f"cast({MEASURES[m]} as bigint)").alias(m) for m in measures])
+    # a generator's columns are not replaced by their expressions, so a filter
+    # on a measure does not compute it again for each of its uses
+    values = F.struct(*[F.expr(f"cast({MEASURES[m]} as bigint)").alias(m) for m in measures])
+    return out.select("id", F.inline(F.array(values)))
 
 
 def _with_repeats(docs: DataFrame) -> DataFrame:
