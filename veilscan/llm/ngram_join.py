@@ -34,8 +34,8 @@ BAND = 4
 #: Entries of the table of piece counts, and entries that travel as one row.
 COUNT_SLOTS = 1 << 18
 COUNT_CHUNK = 1 << 12
-#: Bits of the narrow sketches that are compared before the sets are.
-NARROW_BITS = 4096
+#: Bits of a sketch, at most, in the comparison before that of the sets.
+MOST_BITS = 1 << 17
 #: Pairs up to this number are sent to the texts; more meet them in a shuffle.
 SMALL_ROWS = 500_000
 #: Members of a pair's first document that one task's group may hold.
@@ -60,20 +60,23 @@ def link_documents(
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _content(text_col))
-    copies = docs.select("id", "content")
+    copies = keep(docs.select("id", "content"))
     named = docs.where("id is not null")
     firsts = copies.groupBy("content").agg(F.min("id").alias("first"))
     same = copies.join(firsts, "content").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
 
     profile = keep(docs.select("content", "text").mapInArrow(_profiles(words, percent), PROFILE))
-    sizes = profile.where("content is not null").groupBy("content").agg(F.max("n_shingles").alias("n_shingles"))
+    known = profile.where("content is not null").dropDuplicates(["content"])
+    sizes = known.select("content", "n_shingles")
+    sketches = copies.join(known, "content").select("id", F.col("sketch").alias("payload"))
+    texts = named.select("id", F.col("text").alias("payload"))
     linked = same.join(copies.join(sizes.where("n_shingles > 0"), "content", "left_semi").select(F.col("id").alias("a")).distinct(), "a")
 
     buckets = keep(_buckets(named, words, percent, _rarity(profile)))
     stars = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n", "leader_n")
-    found = _verified(named, _sized(stars, "n", "leader_n", percent), words, percent)
+    found = _links(texts, sketches, _sized(stars, "n", "leader_n", percent), words, percent)
     groups = keep(components(linked.unionByName(found)))
-    late = keep(_verified(named, _between_components(buckets, groups, percent), words, percent))
+    late = keep(_links(texts, sketches, _between_components(buckets, groups, percent), words, percent))
     if not late.isEmpty():
         groups = keep(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late)))
     return (
@@ -145,36 +148,52 @@ def sent_keys(found: np.ndarray, level: int, differ: int, percent: int, rarity:
     return keys
 
 
-def _narrow(found: np.ndarray) -> np.ndarray:
-    """Sketch of NARROW_BITS bits, one byte each."""
-    return np.bincount((found & U(NARROW_BITS - 1)).astype(np.int64), minlength=NARROW_BITS).astype(np.uint8) & 1
+def packed_sketch(found: np.ndarray) -> bytes:
+    """The set's size in four bytes and a sketch of at least twice as many bits
+    (a power of two). Halving a sketch, by flipping one half with the other,
+    gives the sketch of half the bits, so sketches of all sizes compare."""
+    bits = min(MOST_BITS, max(256, 1 << (2 * len(found)).bit_length()))
+    parity = np.bincount((found & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(found).to_bytes(4, "little") + np.packbits(parity.astype(bool)).tobytes()
+
+
+def sketches_near(first: bytes, second: bytes, percent: int) -> bool:
+    """Whether the Hamming distance leaves a link possible."""
+    a, b = (np.frombuffer(x, np.uint8, offset=4) for x in (first, second))
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    sizes = (int.from_bytes(x[:4], "little") for x in (first, second))
+    return int(np.bitwise_count(a ^ b).sum()) <= most_different(*sizes, percent)
 
 
 # --- candidate pairs --------------------------------------------------------
 
-PROFILE = "content binary, n_shingles int, chunk int, counts binary"
+PROFILE = "content binary, n_shingles int, sketch binary, chunk int, counts binary"
 
 
 def _profiles(words: int, percent: int):
-    """Rows with each text's number of shingles, and at the end of the task
-    its counts of pieces by hashed slot."""
+    """Rows with each text's number of shingles and sketch, and at the end of
+    the task its counts of pieces by hashed slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["content", "n_shingles", "chunk", "counts"]
+        names = ["content", "n_shingles", "sketch", "chunk", "counts"]
         counts = np.zeros(COUNT_SLOTS, np.int64)
         seen: set[bytes] = set()
         for batch in batches:
             fresh = _unseen(batch.column(0), seen)
             batch = batch.take(fresh)
-            sizes = np.zeros(len(fresh), np.int32)
+            sizes, sketches = np.zeros(len(fresh), np.int32), []
             for row, found in enumerate(shingle_sets(batch.column(1), words)):
                 sizes[row] = len(found)
+                sketches.append(packed_sketch(found))
                 for level, _ in levels(len(found), percent) if len(found) else ():
                     keys, _ = piece_keys(found, level, percent)
                     np.add.at(counts, (keys >> U(46)).astype(np.int64), 1)
             none = pa.nulls(len(fresh), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), none, pa.nulls(len(fresh), pa.binary())], names
+                [batch.column(0), pa.array(sizes), pa.array(sketches, pa.binary()), none, pa.nulls(len(fresh), pa.binary())], names
             )
         if counts.any():
             cut = counts.reshape(-1, COUNT_CHUNK)
@@ -182,6 +201,7 @@ def _profiles(words: int, percent: int):
                 [
                     pa.nulls(len(cut), pa.binary()),
                     pa.nulls(len(cut), pa.int32()),
+                    pa.nulls(len(cut), pa.binary()),
                     pa.array(np.arange(len(cut), dtype=np.int32)),
                     pa.array([x.tobytes() for x in cut], pa.binary()),
                 ],
@@ -305,33 +325,44 @@ def _between_components(buckets: DataFrame, groups: DataFrame, percent: int) ->
 # --- verification -----------------------------------------------------------
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The linked ones of the pairs (a, b). The texts that share a first
-    document are compared in groups of at most about GROUP, each of which gets
-    that document's text, so that no task holds all copies of one text."""
+def _links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The linked ones of the pairs (a, b): sketches, a small part of the texts
+    in size, decide most; the sets of shingles decide the rest."""
+    near = _matched(sketches, keep(pairs), bytes_of, lambda a, b: sketches_near(a, b, percent))
+    return _matched(texts, keep(near), lambda column: shingle_sets(column, words), lambda a, b: sets_linked(a, b, percent))
+
+
+def _matched(payloads: DataFrame, pairs: DataFrame, items, test) -> DataFrame:
+    """Pairs whose payloads (id, payload) pass the test. Those that share a
+    first document are compared in groups of about GROUP, each of which gets
+    that document's payload, so no task holds all copies of one text."""
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("slots"))
     second = pairs.join(slots, "a").selectExpr("b id", "a", "cast(pmod(xxhash64(b), slots) as int) slot", "1 role")
     first = slots.selectExpr("a id", "a", "explode(sequence(0, slots - 1)) slot", "0 role")
     needed = keep(second.unionByName(first))
     if needed.count() <= SMALL_ROWS:  # ids only: a few MB
         needed = F.broadcast(needed)
-    rows = docs.select("id", "text").join(needed, "id")
-    rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "role", "id")
-    return rows.select("a", "slot", "role", "id", "text").mapInArrow(_compared(words, percent), "a long, b long").distinct()
+    rows = payloads.join(needed, "id").repartition("a", "slot").sortWithinPartitions("a", "slot", "role", "id")
+    rows = rows.select("a", "slot", "role", "id", "payload")
+    return rows.mapInArrow(_compared(items, test), "a long, b long").distinct()
+
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    return column.to_pylist()
 
-def _compared(words: int, percent: int):
+
+def _compared(items, test):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, heads = None, []
         for batch in batches:
             a, slot, role, ids = (batch.column(i).to_numpy().tolist() for i in range(4))
             links = []
-            for row, found in enumerate(shingle_sets(batch.column(4), words)):
+            for row, item in enumerate(items(batch.column(4))):
                 if group != (a[row], slot[row]):
                     group, heads = (a[row], slot[row]), []
                 if role[row] == 0:
-                    heads.append((found, _narrow(found)))
-                elif any(_linked(found, head, narrow, percent) for head, narrow in heads):
+                    heads.append(item)
+                elif any(test(item, head) for head in heads):
                     links.append((a[row], ids[row]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"]
@@ -340,11 +371,9 @@ def _compared(words: int, percent: int):
     return run
 
 
-def _linked(found: np.ndarray, head: np.ndarray, narrow: np.ndarray, percent: int) -> bool:
-    if not len(found) or not len(head):
-        return False
-    if np.count_nonzero(_narrow(found) != narrow) > most_different(len(found), len(head), percent):
+def sets_linked(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
+    if not len(first) or not len(second):
         return False
-    at = np.minimum(np.searchsorted(head, found), len(head) - 1)
-    both = int(np.count_nonzero(head[at] == found))
-    return 100 * both >= percent * (len(found) + len(head) - both)
+    at = np.minimum(np.searchsorted(second, first), len(second) - 1)
+    both = int(np.count_nonzero(second[at] == first))
+    return 100 * both >= percent * (len(first) + len(second) - both)
