@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilscan.llm import mixing, packing, quality_rules, substring_dedup, toxicity
+from veilscan.llm import chat_format, html_text, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, vector_search
 from veilscan.llm.common import SEPARATORS, table
 from veilscan.llm.ngram_join import link_documents
 
@@ -22,6 +22,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -30,14 +34,32 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer("byte_bpe_50k.tiktoken")
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "'\\\\### Assistant: </turn> ok'"
+    tricky = spark.sql(f"select -7l conv_id, turn, role, {said} text from values (0l, 'user'), (1l, 'assistant') t(turn, role)")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.render(conversations.unionByName(tricky)))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SEPARATORS, " "))
@@ -50,13 +72,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
     "op3_toxicity": op3_toxicity,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.llm.common import prepare
 from veilscan.llm.hashing import U, Words
@@ -83,7 +84,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     columns = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     shared = spark.sparkContext.broadcast(model)
-    schema = inner.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*inner.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return inner.mapInArrow(_scored(shared, columns.index(text_col), threshold), schema).toDF(*columns, "score", "predicted")
 
 
