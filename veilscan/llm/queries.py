@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from veilscan.llm import chat_format, html_text, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, vector_search
 from veilscan.llm.common import SEPARATORS, table
 from veilscan.llm.ngram_join import link_documents
+from veilscan.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def tokenizer(name: str) -> str:
@@ -91,5 +94,3 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "pipeline": pipeline,
 }
-
-ORACLE: dict[str, str] = {}
