@@ -150,7 +150,7 @@ def test_report_and_archive(spark, findings, tmp_path):
         archive_run(findings, now(), str(tmp_path / "archive"))
     assert spark.read.parquet(str(tmp_path / "archive")).where("run_date = '2026-07-02'").count() == 2
     lines = {r["label"]: r["value"] for r in describe_params(header.select("params")).collect()}
-    assert lines["Max file size"] == "2 GB" and lines["Excluded patterns"] == "*.bak" and lines["PII types"] == "All types"
+    assert lines["largest file"] == "2048 MiB" and lines["excluded"] == "*.bak" and lines["categories"] == "-"
 
 
 def test_manifest():

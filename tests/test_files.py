@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veilscan.operators.rollup import coverage_lists, coverage_stats
 from veilscan.plans.file_scan import list_files, scan_files
-from veilscan.sources.credentials import secrets_of
-from veilscan.sources.files import classify_file, limit_size, looks_like_text, utf16_order
+from veilscan.sources.credentials import credential_secrets
+from veilscan.functions.storage import ensure_checkpoint_dir
+from veilscan.sources.files import classify_file, extract_text, limit_size, list_tree, looks_like_text, utf16_order, with_content
 from veilscan.sources.manifest import ScanSettings
 from veilscan.sources.office import document_text
 
@@ -70,7 +71,7 @@ def test_scan(spark, tmp_path):
         "plain.txt": "scanned", "utf16.txt": "scanned", "noext": "scanned", "blob": "skipped",
         "old-payroll.XLS": "unreadable_doc", "letter.doc": "unreadable_doc", "photo.gif": "skipped",
         "scan.pdf": "needs_ocr", "ocr.pdf": "scanned", "report.docx": "scanned", "broken.docx": "error",
-        "archive.pst": "mail_store", "big.txt": "skipped", "creds.csv": "scanned",
+        "archive.pst": "mail_store", "big.txt": "oversize", "creds.csv": "scanned",
     }
     found = {(r["file_name"], r["line"], r["page"], r["match"]) for r in run.findings.collect()}
     assert found == {
@@ -85,7 +86,7 @@ def test_scan(spark, tmp_path):
     assert stats["files_scanned"] == 6 and stats["files_ocr"] == 1 and stats["files_errored"] == 1
     gaps = {(r["gap"], os.path.basename(r["entry"].split(":")[0])) for r in coverage_lists(run.coverage).collect()}
     assert gaps == {("needs_ocr", "scan.pdf"), ("unreadable_doc", "old-payroll.XLS"), ("unreadable_doc", "letter.doc"),
-                    ("mail_store", "archive.pst"), ("error", "broken.docx")}
+                    ("mail_store", "archive.pst"), ("oversize", "big.txt"), ("error", "broken.docx")}
 
 
 def test_size_filter_reaches_the_source(spark, tmp_path):
@@ -96,6 +97,55 @@ def test_size_filter_reaches_the_source(spark, tmp_path):
     assert files.count() == 1
 
 
+def test_every_entry_is_accounted_for(spark, tmp_path):
+    outside = tree(tmp_path / "outside", {"o.txt": SSN})
+    names = [".env", "a/.b/c.txt", "a/b/c/d/.env", "a/b/c/d/.hid/e/f/.g/x.txt", "_x/y.txt", "plain.txt", "closed.txt"]
+    root = tree(tmp_path / "root", {n: SSN for n in names})
+    os.symlink(f"{outside}/o.txt", f"{root}/link.txt")
+    os.symlink(outside, f"{root}/linked")
+    os.symlink(root, f"{root}/a/loop")
+    files = list_tree(spark, [root])
+    assert {os.path.relpath(r["path"], root) for r in files.collect()} == set(names)
+    assert {r["path"] for r in list_tree(spark, [f"{root}/link.txt"]).collect()} == {f"{root}/link.txt"}
+    os.remove(f"{root}/closed.txt")  # vanished after it was listed
+    read = {os.path.relpath(r["path"], root): r for r in with_content(files).collect()}
+    assert read["closed.txt"]["error"] and read["closed.txt"]["content"] is None
+    assert all(bytes(read[n]["content"]) == SSN for n in names if n != "closed.txt")
+    run = scan_files(spark, ScanSettings(paths=(root,)))
+    assert {r["status"] for r in run.coverage.collect()} == {"scanned"} and run.coverage.count() == 6
+    assert run.findings.count() == 6
+
+
+def test_supplied_text_and_settings(spark):
+    rows = [(n, 1, b"x", k, False, False) for n, k in (("a.pdf", "pdf"), ("b.pdf", "pdf"), ("c.png", "image"), ("d.png", "image"), ("e.txt", "text"))]
+    files = spark.createDataFrame(rows, "path string, length long, content binary, kind string, excluded boolean, oversize boolean")
+    given = spark.createDataFrame([("a.pdf", " ", False), ("b.pdf", "w " * 30, False), ("c.png", "x", True), ("e.txt", "other", False)],
+                                  "path string, text string, ocr boolean")
+    got = {r["path"]: (r["status"], bytes(r["text"] or b"")[:2]) for r in extract_text(files, ocr_text=given, ocr=True).collect()}
+    assert got == {"a.pdf": ("needs_ocr", b" "), "b.pdf": ("scanned", b"w "), "c.png": ("scanned", b"x"), "d.png": ("needs_ocr", b""), "e.txt": ("scanned", b"x")}
+    for settings in (ScanSettings(mail=True), ScanSettings(include_cloud=True)):
+        with pytest.raises(ValueError):
+            scan_files(spark, settings)
+
+
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
+
+
 def test_kinds_and_sniffing(spark):
     names = {"a.DOCX": "docx", "b.xlsm": "xlsx", "c.pptx": "pptx", "d.pdf": "pdf", "e.TIF": "image", "f.one": "unreadable_doc",
              "g.so": "binary", "h.env": "text", "i": "sniff", "j.py": "sniff", "k.ost": "mail_store", "l.olk14MsgSource": "mail_store"}
@@ -118,6 +168,25 @@ def test_extraction_helpers():
         z.writestr("xl/worksheets/sheet1.xml",
                    '<s><row><c t="s"><v>0</v></c><c><v>42</v></c><c t="inlineStr"><is><t>x</t></is></c></row></s>')
     assert document_text("xlsx", book.getvalue()) == "first\nsecond\n42 x \n"
-    text = 'url,username,password\na.com,u1,"p,w1234"\nb.com,u2,ab\n"x\ny",u3,longer\n'
-    assert list(secrets_of(text)) == [(2, "p,w1234"), (4, "longer"), (5, "longer")]
-    assert list(secrets_of("a,b\n1,secret\n")) == []
+
+
+def test_credential_secrets(spark):
+    texts = {
+        "a.csv": 'url,username,password\na.com,u1,"p,w1234"\nb.com,u2,ab\n"x\ny",u3,longer\n',
+        "b.csv": "a,b\n1,secret password\n",
+        "c.CSV": '\r\nnote,My_Password ,totp\r\n"two\nlines",hunter2x,otp12345\r\n"q""x" y",v"alue1,t\nlast,endvalue',
+        "d.txt": "password\nhunter2x",
+        "e.csv": None,
+        "f.csv": "",
+        "g.csv": ',password\n,value9\n,"open,vvvv\n' + '""' * 20_000,
+    }
+    table = spark.createDataFrame(list(texts.items()), "path string, text string")
+    found = credential_secrets(table)
+    assert "Python" not in found._jdf.queryExecution().toString() and "MapIn" not in found._jdf.queryExecution().toString()
+    got = sorted((r["path"], r["line"], r["value"][:12]) for r in found.collect())
+    assert got == [
+        ("a.csv", 2, "p,w1234"), ("a.csv", 4, "longer"), ("a.csv", 5, "longer"),
+        ("c.CSV", 3, "hunter2x"), ("c.CSV", 3, "otp12345"), ("c.CSV", 4, "hunter2x"), ("c.CSV", 4, "otp12345"),
+        ("c.CSV", 5, 'v"alue1'), ("c.CSV", 6, "endvalue"),
+        ("g.csv", 2, "value9"), ("g.csv", 3, 'open,vvvv\n""'),
+    ]

@@ -46,3 +46,11 @@ def test_batch_equals_stream_expression(spark):
     docs = spark.createDataFrame([("a", "ssn 219-09-9999 j@x.org"), ("b", "none")], "path string, content string")
     rows = scan_stream(docs, masked=False).select("path", "match").collect()
     assert sorted(map(tuple, rows)) == [("a", "219-09-9999"), ("a", "j@x.org")]
+
+
+def test_stream_hides_secrets(spark):
+    text = "site,user,password\na.example,jo@x.org,hunter2-secret\n"
+    docs = spark.createDataFrame([("x/export.csv", text), ("x/export.txt", text)], "path string, content string")
+    shown = {r["path"]: r["context"] for r in scan_stream(docs).collect()}
+    assert shown["x/export.csv"] == "a.example,j*@x.org,********"
+    assert "hunter2-secret" in shown["x/export.txt"]

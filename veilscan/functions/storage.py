@@ -7,36 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where
-    none is configured (a local run)."""
+    """The folder in ``spark.checkpoint.dir``, which the cluster shares. Only a
+    local run, where every task sees the driver's disk, may go without."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context.getCheckpointDir()
     if configured and current is None:
         context.setCheckpointDir(configured)
     elif not configured and current is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there."""
+    """``df`` written to the checkpoint folder and read from there. The cluster
+    deletes it with the last reference when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as the
+    package's session settings do."""
     if df.isStreaming:
         return df
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str, small_bytes: int = 1 << 30) -> DataFrame:
-    """Use all cores on a small input that arrives in few splits.
-
-    Inputs above ``small_bytes`` already have enough splits and are left as
-    they are: shuffling the text of a large table would cost more than it
-    gains.
-    """
-    if df.isStreaming:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > small_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -86,9 +86,16 @@ def _blank(column: str) -> Column:
 
 
 def to_events(
-    findings: DataFrame, timestamp: Column, host: Column, *, masked: bool = True, fmt: EventFormat = DEFAULT_FORMAT
+    findings: DataFrame,
+    timestamp: Column,
+    host: Column,
+    *,
+    masked: bool = True,
+    fmt: EventFormat = DEFAULT_FORMAT,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One ``finding`` event per finding; masking is the caller's step."""
+    """One ``finding`` event per finding; masking is the caller's step.
+    ``keep`` names columns to carry along, which are no part of an event."""
     optional = {"folder", "subject", "from", "date", "attachment"}
     body = []
     for name in FINDING_FIELDS:
@@ -96,7 +103,7 @@ def to_events(
             body.append(category_slug(F.col("category")).alias(name))
         elif name in findings.columns:
             body.append(_blank(name) if name in optional else F.col(name))
-    return findings.select(*_head(fmt, "finding", timestamp, host), F.lit(masked).alias("masked"), *body)
+    return findings.select(*_head(fmt, "finding", timestamp, host), F.lit(masked).alias("masked"), *body, *keep)
 
 
 def needs_ocr_events(

@@ -11,7 +11,7 @@ from veilscan.functions.storage import materialize
 
 # every way a file can end, in order of precedence
 STATUSES = ("error", "needs_ocr", "cloud", "mail_store", "unreadable_doc", "skipped", "scanned")
-GAPS = ("needs_ocr", "cloud", "mail_store", "unreadable_doc", "error")
+GAPS = ("needs_ocr", "cloud", "mail_store", "unreadable_doc", "oversize", "error")
 
 
 def category_counts(findings: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def coverage_stats(coverage: DataFrame) -> DataFrame:
     return coverage.agg(
         status("scanned").alias("files_scanned"),
         F.count_if(scanned & column("ocr", F.lit(False))).alias("files_ocr"),
-        status("skipped").alias("files_skipped"),
+        F.count_if(F.col("status").isin("skipped", "oversize")).alias("files_skipped"),
         status("needs_ocr").alias("files_need_ocr"),
         status("cloud").alias("files_cloud_skipped"),
         status("mail_store").alias("files_mail_skipped"),

@@ -12,8 +12,8 @@ from veilscan.operators.detectors import DEFAULT, Registry
 from veilscan.operators.masking import attach_secrets, mask_findings
 from veilscan.operators.rollup import sort_findings
 from veilscan.operators.scan import detect, explode_findings
-from veilscan.sources.credentials import credential_secrets, names_secrets
-from veilscan.sources.files import classify_file, exclude_paths, extract_text, read_files, too_large
+from veilscan.sources.credentials import secrets_array
+from veilscan.sources.files import classify_file, exclude_paths, extract_text, list_tree, too_large, with_content
 from veilscan.sources.mail import is_mail_store
 from veilscan.sources.manifest import ScanSettings
 
@@ -42,7 +42,7 @@ class ScanRun:
 def list_files(spark: SparkSession, settings: ScanSettings) -> DataFrame:
     """The files a scan looks at, with what is known before opening them."""
     files = exclude_paths(
-        read_files(spark, settings.paths),
+        list_tree(spark, settings.paths),
         settings.excludes,
         settings.paths,
         scan_all=settings.scan_all,
@@ -63,19 +63,19 @@ def scan_files(
     registry: Registry = DEFAULT,
     ocr_text: DataFrame | None = None,
 ) -> ScanRun:
-    """Scan files.  Contents of excluded, oversized and binary files are not
-    read: the content column is only asked for where the listing leaves a
-    file in."""
+    """Scan files. Only files that the listing leaves in are opened: not the
+    excluded, oversized and binary ones. Mailboxes are messages, not files:
+    explode_messages or a messages table goes to scan_messages, so a mail scan
+    is refused here."""
     settings = settings.checked(registry)
+    if settings.mail:
+        raise ValueError("mail: scan the messages with scan_messages(explode_messages(read_files(...)))")
     listing = list_files(spark, settings)
-    opened = F.col("kind").isin("text", "sniff", "docx", "xlsx", "pptx") & ~F.col("excluded")
-    # a plain comparison on length is pushed into the file source
-    within = F.col("length") <= settings.size_limit_mb() * 1024 * 1024
-    no_content = F.lit(None).cast("binary").alias("content")
-    columns = ["path", "length", "kind", "excluded", "oversize"]
-    unopened = listing.where(~(opened & within)).select(*columns, no_content)
-    readable = listing.where(opened & within).select(*columns, "content")
-    documents = extract_text(readable.unionByName(unopened), ocr_text=ocr_text)
+    opened = F.col("kind").isin("text", "sniff", "docx", "xlsx", "pptx") & ~F.col("excluded") & ~F.col("oversize")
+    columns = ["path", "length", "kind", "excluded", "oversize", "error"]
+    unopened = listing.where(~opened).select(*columns, F.lit(None).cast("binary").alias("content"))
+    readable = with_content(listing.where(opened).select(columns))
+    documents = extract_text(readable.unionByName(unopened), ocr_text=ocr_text, ocr=settings.ocr)
     scanned = F.col("status") == "scanned"
     found = detect(
         F.col("text"),
@@ -84,15 +84,18 @@ def scan_files(
         settings.exclude_emails,
         F.col("ocr"),
     )
-    # one pass over the contents; what is kept of it - findings, and the text
-    # of credential exports with findings - is small
+    # one pass over the contents; of a credential export only the secrets on
+    # the lines of findings are kept
+    secrets = F.when(F.size("found") > 0, secrets_array(F.col("path"), F.col("text")))
+    lines = F.transform("found", lambda f: f["line"])
     results = materialize(
         documents.withColumn("found", F.when(scanned, found))
-        .withColumn("export", F.when(names_secrets(F.col("path"), F.col("text")) & F.col("found").isNotNull(), F.col("text")))
-        .select("path", "status", "error", "ocr", "found", "export")
+        .withColumn("lines", lines)
+        .withColumn("secrets", F.filter(secrets, lambda s: F.array_contains("lines", s["line"])))
+        .select("path", "status", "error", "ocr", "found", "secrets")
     )
     return ScanRun(
         findings=explode_findings(results, "path", "found", F.col("ocr")),
         coverage=results.select("path", "status", "error", "ocr"),
-        secrets=credential_secrets(results.where(F.col("export").isNotNull()), text="export"),
+        secrets=results.select("path", F.explode("secrets").alias("s")).selectExpr("path", "s.line line", "s.value value"),
     )

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoints hold findings: they go when nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
@@ -25,7 +27,7 @@ def builder(name: str = "veilscan") -> SparkSession.Builder:
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers, once per session;
-    only office files, mail and credential exports need it there."""
+    listing and reading files, office files and mail need it there."""
     context = spark.sparkContext
     if getattr(context, "_veilscan_shipped", False):
         return

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,17 +12,18 @@ from veilscan.operators.events import DEFAULT_FORMAT, EventFormat
 from veilscan.schema import EVENTS
 
 
-def from_lines(lines: DataFrame, fmt: EventFormat = DEFAULT_FORMAT) -> DataFrame:
+def from_lines(lines: DataFrame, fmt: EventFormat = DEFAULT_FORMAT, keep: Sequence[str] = ()) -> DataFrame:
     """Events from a ``value`` column of JSON lines.  Old writers called the
     event-type key ``event_type``; it is read where the current one is absent."""
     keys = dict.fromkeys((fmt.event_key, "event_type"))
     body = [f for f in EVENTS if f.name != "event"]
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *body])
-    parsed = lines.select(F.from_json("value", schema).alias("e"))
+    parsed = lines.select(F.from_json("value", schema).alias("e"), *keep)
     names = [f.name for f in EVENTS]
     event = F.coalesce(*[F.col(f"e.{k}") for k in keys]).alias("event")
     return parsed.where(F.col("e").isNotNull()).select(
-        *[event if name == "event" else F.col(f"e.{name}").alias(name) for name in names]
+        *[event if name == "event" else F.col(f"e.{name}").alias(name) for name in names],
+        *keep,
     )
 
 

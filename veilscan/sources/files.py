@@ -7,17 +7,22 @@ are going to be scanned is read.
 
 from __future__ import annotations
 
+import os
 import re
+import stat
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.functions.arrays import let
-from veilscan.functions.scalars import file_name
+from veilscan.functions.scalars import file_name, lacks_text_layer
+from veilscan.functions.storage import materialize
 from veilscan.sources.mail import MAIL_STORES, MESSAGE_FILES
 from veilscan.sources.office import office_text
 
@@ -61,52 +66,135 @@ def _outermost(roots: Sequence[str]) -> list[str]:
     return [r for r in clean if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in clean)]
 
 
-def _hidden(spark: SparkSession, root: str, depth: int) -> tuple[list[str], list[tuple]]:
-    """Entries Spark's file index leaves out, names starting with '.' or '_':
-    the directories, and (path, mtime, length) of the files."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dirs, files, level = [], [], root.rstrip("/")
-    for _ in range(depth):
-        for status in fs.globStatus(path(level + "/{.,_}*")) or ():
-            name = status.getPath().toUri().getPath() if "://" not in root else status.getPath().toString()
-            if status.isDirectory():
-                if status.getPath().getName() != ".git":
-                    dirs.append(name)
-            elif not status.isSymlink():
-                seconds = status.getModificationTime() / 1000
-                files.append((name, datetime.fromtimestamp(seconds, timezone.utc), status.getLen()))
-        level += "/*"
-    return dirs, files
-
-
-def _read_named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_ENTRIES = "path string, kind string, modificationTime timestamp, length bigint, error string"
+LISTING = "path string, modificationTime timestamp, length bigint, error string"
+
+
+def _entry(path: str, kind: str, seconds: float = 0.0, length: int = 0, error: str | None = None) -> tuple:
+    return path, kind, datetime.fromtimestamp(seconds, timezone.utc), length, error
+
+
+def _local_entries(path: str) -> Iterator[tuple]:
+    """What a folder of the local file system holds; links are not followed,
+    and an entry that cannot be looked at is an error of its own."""
+    try:
+        with os.scandir(path) as found:
+            for entry in found:
+                name = entry.path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+                try:
+                    about = entry.stat(follow_symlinks=False)
+                    if stat.S_ISDIR(about.st_mode):
+                        yield _entry(name, "dir")
+                    elif stat.S_ISREG(about.st_mode):
+                        yield _entry(name, "file", about.st_mtime, about.st_size)
+                except OSError as problem:
+                    yield _entry(name, "error", error=str(problem))
+    except OSError as problem:
+        yield _entry(path, "error", error=str(problem))
+
+
+def _stored_entries(path: str) -> Iterator[tuple]:
+    """The same for a folder of another file system."""
+    try:
+        fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+        for info in fs.get_file_info(pyarrow.fs.FileSelector(inner)):
+            name = f"{path.rstrip('/')}/{info.base_name}"
+            if info.type == pyarrow.fs.FileType.Directory:
+                yield _entry(name, "dir")
+            elif info.type == pyarrow.fs.FileType.File:
+                yield _entry(name, "file", info.mtime.timestamp() if info.mtime else 0.0, info.size)
+    except (OSError, ValueError) as problem:
+        yield _entry(path, "error", error=str(problem))
+
+
+def _root_entry(path: str) -> tuple:
+    """A root may be a file or a folder, or a link to one; it must be there."""
+    if "://" not in path:
+        about = os.stat(path)
+        return _entry(path, "dir") if stat.S_ISDIR(about.st_mode) else _entry(path, "file", about.st_mtime, about.st_size)
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+    info = fs.get_file_info(inner)
+    if info.type == pyarrow.fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == pyarrow.fs.FileType.Directory:
+        return _entry(path, "dir")
+    return _entry(path, "file", info.mtime.timestamp() if info.mtime else 0.0, info.size)
+
+
+def _opened(list_entries):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "kind", "modificationTime", "length", "error"]
+        for batch in batches:
+            for path in batch["path"]:
+                yield pd.DataFrame(list_entries(path), columns=names)
+
+    return run
+
+
+def _entries(path: str) -> list[tuple]:
+    return list(_stored_entries(path) if "://" in path else _local_entries(path))
+
+
+def list_tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """All files below ``roots`` at any depth and whatever their names: path,
+    modificationTime, length, error. A root may be one file; one that is missing
+    fails. Links below a root are not followed. What cannot be listed is a row
+    with an error.
+
+    Folders are rows that tasks open, one level of the tree after the other, so
+    no list of them is ever on the driver; only the roots come from there.
+    """
+    start = spark.createDataFrame([(local_root(r),) for r in _outermost(roots)], "path string")
+    found = materialize(start.mapInPandas(_opened(lambda path: [_root_entry(path)]), _ENTRIES))
+    levels = [found]
+    while not (folders := levels[-1].where("kind = 'dir'").select("path")).isEmpty():
+        levels.append(materialize(folders.repartition("path").mapInPandas(_opened(_entries), _ENTRIES)))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every.where("kind <> 'dir'").select("path", "modificationTime", "length", "error")
+
+
+def local_root(root: str) -> str:
+    return re.sub("^file:(?://)?(?=/)", "", root)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents by path, one file at a time."""
     for batch in batches:
-        contents = []
-        for path in batch["path"]:
-            uri = path if "://" in path else f"file://{path}"
-            fs, local = pyarrow.fs.FileSystem.from_uri(uri)
-            with fs.open_input_stream(local) as stream:
-                contents.append(stream.read())
-        yield batch.assign(content=contents)
-
-
-def read_files(spark: SparkSession, roots: Sequence[str], hidden_depth: int = 3) -> DataFrame:
-    """All files below ``roots`` (a root may be one file): path,
-    modificationTime, length, content.  A missing root fails.  Hidden names are
-    looked for ``hidden_depth`` levels deep."""
-    paths, hidden = [], []
-    for root in _outermost(roots):
-        dirs, files = _hidden(spark, root, hidden_depth)
-        paths += [root, *dirs]
-        hidden += files
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(dict.fromkeys(paths)))
-    found = found.select(local_path(F.col("path")).alias("path"), "modificationTime", "length", "content")
-    if hidden:
-        named = spark.createDataFrame(hidden, "path string, modificationTime timestamp, length bigint")
-        found = found.unionByName(named.mapInPandas(_read_named, found.schema))
-    return found
+        at = batch.schema.get_field_index("path"), batch.schema.get_field_index("error")
+        for row in range(len(batch)):
+            one = batch.slice(row, 1)
+            path, error, content = one.column(at[0])[0].as_py(), one.column(at[1])[0].as_py(), None
+            if error is None:
+                try:
+                    content = _content(path)
+                except (OSError, ValueError) as problem:
+                    error = str(problem)
+            columns = list(one.columns)
+            columns[at[1]] = pa.array([error], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([content], pa.binary())], [*one.schema.names, "content"])
+
+
+def _content(path: str) -> bytes:
+    if "://" in path:
+        fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+        with fs.open_input_stream(inner) as stream:
+            return stream.read()
+    with open(path, "rb") as stream:
+        return stream.read()
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Listed files with their ``content``; one that cannot be read, or has
+    vanished since, has an ``error`` instead. Filter the listing first: every
+    row that is left is opened."""
+    return files.mapInArrow(_contents, T.StructType([*files.schema, T.StructField("content", T.BinaryType())]))
+
+
+def read_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """All files below ``roots`` with their contents."""
+    return with_content(list_tree(spark, roots))
 
 
 def clean_excludes(patterns: Sequence[str]) -> list[str]:
@@ -279,57 +367,78 @@ def decode_text(content: Column, decoded16: Column, order: Column) -> Column:
 
 
 def extract_text(
-    files: DataFrame, *, ocr_text: DataFrame | None = None, keep: Sequence[str] = ()
+    files: DataFrame, *, ocr_text: DataFrame | None = None, keep: Sequence[str] = (), ocr: bool = False
 ) -> DataFrame:
     """Add ``status``, ``text`` (bytes), ``ocr`` and ``error`` to files with
-    ``path, length, content, kind, excluded, oversize``.
+    ``path, length, content, kind, excluded, oversize`` and, if there is one, an
+    ``error`` of reading.
 
-    ``ocr_text`` (``path, text, ocr``) supplies text that was extracted
-    elsewhere, from PDFs and images; without it those are listed as not
-    searched (PDFs) or skipped (images).
+    ``ocr_text`` (``path, text, ocr``) supplies the text of PDFs and images that
+    was extracted elsewhere; that of other kinds is not replaced. A PDF without
+    text, or with a text layer too thin to be one, is ``needs_ocr``; so is an
+    image without text when ``ocr`` was asked for, else it is skipped.
     """
-    content, kind = F.col("content"), F.col("kind")
-    readable = kind.isin("text", "sniff", "docx", "xlsx", "pptx")
-    order = F.when(kind.isin("text", "sniff"), utf16_order(content))
-    out = (
-        files.withColumn("order", order)
-        # only office files and UTF-16 text are handed to Python
-        .withColumn(
-            "job", F.when(kind.isin("docx", "xlsx", "pptx"), kind).otherwise(F.concat(F.lit("utf16"), F.col("order")))
-        )
-        .withColumn("extracted", office_text(F.col("job"), F.when(F.col("job").isNotNull(), content)))
-    )
-    from_python = F.col("job").isNotNull()
-    text = F.when(from_python, F.col("extracted.text").cast("binary")).when(readable, content)
-    sniffed = F.when(
-        F.col("order").isNotNull(), F.decode(F.substring(F.col("extracted.text").cast("binary"), 1, PROBE_BYTES), "ISO-8859-1")
-    ).otherwise(F.decode(_probe(content), "ISO-8859-1"))
-    not_text = (kind == "sniff") & ~looks_like_text(sniffed)
-    given = F.lit(None).cast("string")
-    given_ocr = F.lit(False)
-    if ocr_text is not None:
-        supplied = ocr_text.select(
-            "path", F.col("text").alias("given"), F.coalesce(F.col("ocr"), F.lit(False)).alias("given_ocr")
-        )
-        out = out.join(supplied, "path", "left")
-        given, given_ocr = F.col("given"), F.coalesce(F.col("given_ocr"), F.lit(False))
+    kind = F.col("kind")
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
+    columns = ["path", "length", *keep, "kind", "excluded", "oversize", "error"]
+    pictured = kind.isin("pdf", "image")
+    documents = _document_texts(files.where(~pictured), columns)
+    # only PDFs and images meet the supplied text, and their contents do not
+    out = documents.unionByName(_supplied_texts(files.where(pictured).select(columns), ocr_text))
     skipped = F.col("excluded") | F.col("oversize")
+    image_gap = F.lit("needs_ocr" if ocr else "skipped")
     status = (
-        F.when(skipped, "skipped")
+        F.when(F.col("excluded"), "skipped")
+        .when(F.col("oversize"), "oversize")
+        .when(F.col("error").isNotNull(), "error")
         .when(kind == "mail_store", "mail_store")
-        .when(F.col("extracted.error").isNotNull(), "error")
-        .when(kind.isin("pdf", "image") & given.isNotNull(), "scanned")
-        .when(kind == "pdf", "needs_ocr")
+        .when(pictured & (F.col("text").isNull() | (~F.col("ocr") & lacks_text_layer(F.col("text").cast("string")))),
+              F.when(kind == "pdf", "needs_ocr").otherwise(image_gap))
+        .when(pictured, "scanned")
         .when(kind == "unreadable_doc", "unreadable_doc")
-        .when(kind.isin("image", "binary") | not_text, "skipped")
+        .when((kind == "binary") | F.col("not_text"), "skipped")
         .otherwise("scanned")
     )
-    return out.select(
-        "path",
-        "length",
-        *keep,
-        status.alias("status"),
-        F.when(given.isNotNull(), given.cast("binary")).otherwise(text).alias("text"),
-        given_ocr.alias("ocr"),
-        F.when(~skipped, F.col("extracted.error")).alias("error"),
+    return out.select("path", "length", *keep, status.alias("status"), "text", "ocr", F.when(~skipped, F.col("error")).alias("error"))
+
+
+def _document_texts(files: DataFrame, columns: list[str]) -> DataFrame:
+    """Text of all but PDFs and images. Office files and UTF-16 text pass
+    Python; the others stay in the JVM."""
+    content, kind = F.col("content"), F.col("kind")
+    order = F.when(kind.isin("text", "sniff"), utf16_order(content))
+    job = F.when(kind.isin("docx", "xlsx", "pptx"), kind).otherwise(F.concat(F.lit("utf16"), order))
+    files = files.select(*columns, "content", job.alias("job"))
+    shown = [*columns[:-1]]
+
+    def finished(rows: DataFrame, text: Column, error: Column) -> DataFrame:
+        sniffed = F.decode(_probe(text), "ISO-8859-1")
+        return rows.select(
+            *shown,
+            F.coalesce(F.col("error"), error).alias("error"),
+            text.alias("text"),
+            F.lit(False).alias("ocr"),
+            F.coalesce((kind == "sniff") & ~looks_like_text(sniffed), F.lit(False)).alias("not_text"),
+        )
+
+    in_python = files.where(F.col("job").isNotNull()).withColumn("extracted", office_text(F.col("job"), content))
+    plain = F.when(kind.isin("text", "sniff"), content)
+    return finished(in_python, F.col("extracted.text").cast("binary"), F.col("extracted.error")).unionByName(
+        finished(files.where(F.col("job").isNull()), plain, F.lit(None).cast("string"))
+    )
+
+
+def _supplied_texts(files: DataFrame, ocr_text: DataFrame | None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    if ocr_text is None:
+        files = files.withColumn("given", none).withColumn("given_ocr", F.lit(False))
+    else:
+        supplied = ocr_text.select(F.col("path"), F.col("text").alias("given"), F.col("ocr").alias("given_ocr"))
+        files = files.join(supplied, "path", "left")
+    return files.select(
+        *[c for c in files.columns if c not in ("given", "given_ocr")],
+        F.col("given").cast("binary").alias("text"),
+        F.coalesce("given_ocr", F.lit(False)).alias("ocr"),
+        F.lit(False).alias("not_text"),
     )

@@ -4,86 +4,42 @@ from __future__ import annotations
 
 import io
 import zipfile
-from xml.parsers import expat
+from collections.abc import Iterator
+from xml.etree.ElementTree import iterparse
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TEXT = 512 << 20  # bytes of text one document may expand to
-
-_BREAKS = ("p", "tr", "row")
-
-
-class TooLarge(ValueError):
-    pass
-
-
-class _Sink:
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, text: str) -> None:
-        self.parts.append(text)
-        self.size += len(text.encode("utf-8", "replace"))
-        if self.size > MAX_TEXT:
-            raise TooLarge(
-                f"document expands to more than {MAX_TEXT >> 20} MB of text; "
-                "not scanned (possible decompression bomb)"
-            )
-
-
-def _parse(stream, on_start, on_end, on_text) -> None:
-    parser = expat.ParserCreate()
-    parser.buffer_text = True
-    parser.StartElementHandler = lambda name, attrs: on_start(name.rpartition(":")[2], attrs)
-    parser.EndElementHandler = lambda name: on_end(name.rpartition(":")[2])
-    parser.CharacterDataHandler = on_text
-    parser.ParseFile(stream)
-
-
-def _runs(stream, sink: _Sink, separator: str = "") -> None:
-    """Text of <t> elements; paragraphs and rows end a line."""
-    depth = 0
-
-    def start(name, _attrs):
-        nonlocal depth
-        if depth or name == "t":
-            depth += 1
-
-    def end(name):
-        nonlocal depth
-        if depth:
-            depth -= 1
-            if not depth:
-                sink.add(separator)
-        if name in _BREAKS:
-            sink.add("\n")
-
-    _parse(stream, start, end, lambda text: sink.add(text) if depth else None)
-
-
-def _cells(stream, sink: _Sink) -> None:
-    """Cell values that are not references to shared strings."""
-    shared = inside = False
-
-    def start(name, attrs):
-        nonlocal shared, inside
-        if name == "c":
-            shared = any(key.rpartition(":")[2] == "t" and v == "s" for key, v in attrs.items())
-        elif name in ("v", "is", "t") and not shared:
-            inside = True
-
-    def end(name):
-        nonlocal inside
-        if name in ("v", "is", "t"):
-            if inside:
-                sink.add(" ")
-            inside = False
-        elif name == "row":
-            sink.add("\n")
-
-    _parse(stream, start, end, lambda text: sink.add(text) if inside else None)
+def _name(tag: str) -> str:
+    return tag.rpartition("}")[2].rpartition(":")[2]
+
+
+def _lines(stream, item: str = "") -> Iterator[str]:
+    """Text runs, a paragraph or table row to a line; with ``item`` each element
+    of that name is a line. Elements are dropped once they are read."""
+    held: list[str] = []
+    for _, element in iterparse(stream):
+        name = _name(element.tag)
+        if name == "t":
+            held.append(element.text or "")
+        if name == item or (not item and name in ("p", "tr", "row")):
+            yield "".join(held) + "\n"
+            held.clear()
+            element.clear()
+    yield "".join(held)
+
+
+def _rows(stream) -> Iterator[str]:
+    """A worksheet's values, a row to a line, but references to shared strings."""
+    for _, row in iterparse(stream):
+        if _name(row.tag) != "row":
+            continue
+        for cell in row:
+            if cell.get("t") != "s":
+                yield from (f"{x.text} " for x in cell.iter() if x.text and _name(x.tag) in ("v", "t"))
+        yield "\n"
+        row.clear()
 
 
 _PARTS = {
@@ -97,24 +53,19 @@ def document_text(kind: str, data: bytes) -> str:
         mark = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(bytes(data[:2]))
         encoding = mark or ("utf-16-le" if kind.endswith("LE") else "utf-16-be")
         return bytes(data[2:] if mark else data).decode(encoding, "replace")
-    sink = _Sink()
+    out: list[str] = []
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        names = archive.namelist()
+        names = sorted(archive.namelist())
         if kind == "xlsx":
-            if "xl/sharedStrings.xml" in names:
-                with archive.open("xl/sharedStrings.xml") as stream:
-                    _runs(stream, sink, "\n")
-            for name in sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")):
-                with archive.open(name) as stream:
-                    _cells(stream, sink)
+            steps = [(n, lambda stream: _lines(stream, "si")) for n in names if n == "xl/sharedStrings.xml"]
+            steps += [(n, _rows) for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")]
         else:
-            whole, *prefixes = _PARTS[kind] if kind == "docx" else ("", *_PARTS[kind])
-            wanted = {n for n in names if n == whole or n.startswith(tuple(prefixes))}
-            for name in sorted(wanted):
-                with archive.open(name) as stream:
-                    _runs(stream, sink)
-                sink.add("\n")
-    return "".join(sink.parts)
+            steps = [(n, _lines) for n in names if n.startswith(_PARTS[kind]) and n.endswith(".xml")]
+        for name, read in steps:
+            with archive.open(name) as stream:
+                out += read(stream)
+            out.append("" if kind == "xlsx" else "\n")
+    return "".join(out)
 
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])

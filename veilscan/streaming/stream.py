@@ -25,6 +25,7 @@ from veilscan.operators.events import (
 from veilscan.operators.masking import mask_array
 from veilscan.operators.rollup import run_summary
 from veilscan.operators.scan import scan_table
+from veilscan.sources.credentials import secrets_array
 from veilscan.sources.eventlog import from_lines
 from veilscan.sources.files import local_path
 
@@ -37,6 +38,12 @@ def read_file_stream(spark: SparkSession, folder: str) -> DataFrame:
     return stream.withColumn("path", local_path(F.col("path")))
 
 
+def _mask_with_secrets(found: Column) -> Column:
+    """Masks a document's findings, and the secrets of a credential export on
+    their lines."""
+    return mask_array(found, F.col("_secrets"))
+
+
 def scan_stream(
     documents: DataFrame,
     id_col: str = "path",
@@ -51,7 +58,10 @@ def scan_stream(
     ocr: Column | None = None,
 ) -> DataFrame:
     """Findings of a stream (or a table) of documents; with ``masked`` all
-    findings of a document hide each other's values."""
+    findings of a document hide each other's values, and those of a ``.csv``
+    (by its id) the secrets on their lines."""
+    if masked:
+        documents = documents.withColumn("_secrets", secrets_array(F.col(id_col).cast("string"), F.col(text_col)))
     return scan_table(
         documents,
         id_col,
@@ -62,7 +72,7 @@ def scan_stream(
         min_confidence=min_confidence,
         exclude_emails=exclude_emails,
         ocr=ocr,
-        transform_findings=mask_array if masked else None,
+        transform_findings=_mask_with_secrets if masked else None,
     )
 
 
