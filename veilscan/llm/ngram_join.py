@@ -36,6 +36,8 @@ COUNT_SLOTS = 1 << 18
 COUNT_CHUNK = 1 << 12
 #: Bits of a sketch, at most, in the comparison before that of the sets.
 MOST_BITS = 1 << 17
+#: 64-bit words of the sketches that a join condition compares; a power of two.
+SHORT_WORDS = 16
 #: Pairs up to this number are sent to the texts; more meet them in a shuffle.
 SMALL_ROWS = 500_000
 #: Members of a pair's first document that one task's group may hold.
@@ -62,29 +64,27 @@ def link_documents(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), _content(text_col))
     copies = keep(docs.select("id", "content"))
     named = docs.where("id is not null")
-    firsts = copies.groupBy("content").agg(F.min("id").alias("first"))
-    same = copies.join(firsts, "content").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-
     profile = keep(docs.select("content", "text").mapInArrow(_profiles(words, percent), PROFILE))
     known = profile.where("content is not null").dropDuplicates(["content"])
-    sizes = known.select("content", "n_shingles")
+    classes = known.select("content", "n_shingles").join(copies.groupBy("content").agg(F.min("id").alias("first")), "content")
+    linked = copies.join(classes, "content").where("n_shingles > 0 and id <> first").selectExpr("id a", "first b")
     sketches = copies.join(known, "content").select("id", F.col("sketch").alias("payload"))
+    short = copies.join(known, "content").select("id", "short")
     texts = named.select("id", F.col("text").alias("payload"))
-    linked = same.join(copies.join(sizes.where("n_shingles > 0"), "content", "left_semi").select(F.col("id").alias("a")).distinct(), "a")
 
     buckets = keep(_buckets(named, words, percent, _rarity(profile)))
     stars = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n", "leader_n")
     found = _links(texts, sketches, _sized(stars, "n", "leader_n", percent), words, percent)
-    groups = keep(components(linked.unionByName(found)))
-    late = keep(_links(texts, sketches, _between_components(buckets, groups, percent), words, percent))
+    groups = components(linked.unionByName(found))
+    late = keep(_links(texts, sketches, _between_components(buckets, groups, short, percent), words, percent))
     if not late.isEmpty():
-        groups = keep(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late)))
+        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
     return (
-        copies.join(sizes, "content", "left")
+        copies.join(classes, "content")
         .join(groups, "id", "left")
         .select(
             F.col("id").alias(id_col),
-            F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"),
+            F.col("n_shingles").cast("long").alias("n_shingles"),
             F.coalesce("component", "id").alias("component_id"),
         )
     )
@@ -157,6 +157,12 @@ def packed_sketch(found: np.ndarray) -> bytes:
     return len(found).to_bytes(4, "little") + np.packbits(parity.astype(bool)).tobytes()
 
 
+def short_sketch(found: np.ndarray) -> np.ndarray:
+    """A sketch of SHORT_WORDS 64-bit words, for use in a join condition."""
+    bits = np.bincount((found & U(64 * SHORT_WORDS - 1)).astype(np.int64), minlength=64 * SHORT_WORDS) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def sketches_near(first: bytes, second: bytes, percent: int) -> bool:
     """Whether the Hamming distance leaves a link possible."""
     a, b = (np.frombuffer(x, np.uint8, offset=4) for x in (first, second))
@@ -170,7 +176,7 @@ def sketches_near(first: bytes, second: bytes, percent: int) -> bool:
 
 # --- candidate pairs --------------------------------------------------------
 
-PROFILE = "content binary, n_shingles int, sketch binary, chunk int, counts binary"
+PROFILE = "content binary, n_shingles int, sketch binary, short array<long>, chunk int, counts binary"
 
 
 def _profiles(words: int, percent: int):
@@ -178,22 +184,23 @@ def _profiles(words: int, percent: int):
     the task its counts of pieces by hashed slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["content", "n_shingles", "sketch", "chunk", "counts"]
+        names = ["content", "n_shingles", "sketch", "short", "chunk", "counts"]
         counts = np.zeros(COUNT_SLOTS, np.int64)
         seen: set[bytes] = set()
         for batch in batches:
             fresh = _unseen(batch.column(0), seen)
             batch = batch.take(fresh)
-            sizes, sketches = np.zeros(len(fresh), np.int32), []
+            sizes, sketches, short = np.zeros(len(fresh), np.int32), [], []
             for row, found in enumerate(shingle_sets(batch.column(1), words)):
                 sizes[row] = len(found)
                 sketches.append(packed_sketch(found))
+                short.append(short_sketch(found))
                 for level, _ in levels(len(found), percent) if len(found) else ():
                     keys, _ = piece_keys(found, level, percent)
                     np.add.at(counts, (keys >> U(46)).astype(np.int64), 1)
             none = pa.nulls(len(fresh), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(sketches, pa.binary()), none, pa.nulls(len(fresh), pa.binary())], names
+                [batch.column(0), pa.array(sizes), pa.array(sketches, pa.binary()), pa.array(short, pa.list_(pa.int64())), none, pa.nulls(len(fresh), pa.binary())], names
             )
         if counts.any():
             cut = counts.reshape(-1, COUNT_CHUNK)
@@ -202,6 +209,7 @@ def _profiles(words: int, percent: int):
                     pa.nulls(len(cut), pa.binary()),
                     pa.nulls(len(cut), pa.int32()),
                     pa.nulls(len(cut), pa.binary()),
+                    pa.nulls(len(cut), pa.list_(pa.int64())),
                     pa.array(np.arange(len(cut), dtype=np.int32)),
                     pa.array([x.tobytes() for x in cut], pa.binary()),
                 ],
@@ -298,10 +306,12 @@ def _sized(pairs: DataFrame, n: str, other: str, percent: int) -> DataFrame:
     return pairs.where(f"100 * least({n}, {other}) >= {percent} * greatest({n}, {other})").select("a", "b").distinct()
 
 
-def _between_components(buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _between_components(buckets: DataFrame, groups: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket that are still in different components and were not
-    compared: those outside the leader's component against all. A bucket whose
-    members are one component, as in a group of copies, has none."""
+    compared: those outside the leader's component with all. A bucket whose
+    members are one component, as in a group of copies, has none. The join
+    keeps a pair only if short sketches leave a link possible, and only in the
+    first bucket that its documents share."""
     members = (
         buckets.where("members > 2")
         .join(groups, "id", "left")
@@ -313,13 +323,22 @@ def _between_components(buckets: DataFrame, groups: DataFrame, percent: int) ->
         .where("low <> high")
         .select("bucket", "main")
     )
-    members = keep(members.join(mixed, "bucket"))
-    outside = members.where("component <> main and id <> leader").select(
-        "bucket", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component")
-    )
-    pairs = outside.join(members.where("id <> leader"), "bucket").where("component <> a_component")
-    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "n", "a_n")
-    return _sized(pairs, "n", "a_n", percent)
+    members = keep(members.join(mixed, "bucket").where("id <> leader").drop("leader"))
+    # a document is in as many buckets as it sent keys, at most
+    own = members.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
+    own = own.join(short, "id").selectExpr("id", "own", *[f"short[{i}] s{i}" for i in range(SHORT_WORDS)])
+    members = keep(members.join(own, "id").withColumn("before", F.expr("filter(own, b -> b < bucket)")).drop("own"))
+    x, y = members.where("component <> main").alias("x"), members.alias("y")
+    distance = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SHORT_WORDS))
+    tests = [
+        "x.bucket = y.bucket",
+        "x.component <> y.component",
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)",
+        f"{100 + percent} * ({distance}) <= {100 - percent} * (x.n + y.n)",
+        "not arrays_overlap(x.before, y.before)",
+    ]
+    pairs = x.join(y, F.expr(" and ".join(f"({t})" for t in tests)))
+    return pairs.selectExpr("least(x.id, y.id) a", "greatest(x.id, y.id) b").distinct()
 
 
 # --- verification -----------------------------------------------------------
@@ -339,8 +358,8 @@ def _matched(payloads: DataFrame, pairs: DataFrame, items, test) -> DataFrame:
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("slots"))
     second = pairs.join(slots, "a").selectExpr("b id", "a", "cast(pmod(xxhash64(b), slots) as int) slot", "1 role")
     first = slots.selectExpr("a id", "a", "explode(sequence(0, slots - 1)) slot", "0 role")
-    needed = keep(second.unionByName(first))
-    if needed.count() <= SMALL_ROWS:  # ids only: a few MB
+    needed = second.unionByName(first)
+    if pairs.count() <= SMALL_ROWS:  # at most two rows of ids for each: a few MB
         needed = F.broadcast(needed)
     rows = payloads.join(needed, "id").repartition("a", "slot").sortWithinPartitions("a", "slot", "role", "id")
     rows = rows.select("a", "slot", "role", "id", "payload")
