@@ -1,11 +1,12 @@
 """Packing token streams into sequences: concatenate and cut.
 
-All documents form one stream. Its order is by bucket (a hash of the document)
-and within a bucket by document; two passes of prefix sums, over bucket totals
-and within buckets, give every document its offset in the stream without
-sorting or holding the corpus anywhere. The stream is then cut into fixed
-windows: a document gives one record for each window it touches, so records at
-a window's border belong to documents that were cut there.
+All documents form one stream, partition after partition. The first pass encodes
+every document once and keeps its ids with the sum of the tokens before it in
+its partition; prefix sums over the partitions' totals then give each document
+its global offset, so nothing is sorted or shuffled. The second pass cuts the
+stream into fixed windows: a document gives one record for each window that it
+touches, so records at a window's border belong to documents that were cut
+there.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import keep, prepare
-
-#: Documents of a bucket, on average.
-BUCKET_ROWS = 5000
+from veilscan.llm.tokens import word_ids
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,76 +44,66 @@ def pack(
 
     Sequences are full but for the last. A null or empty text is its closing id
     alone. Every row is a document of its own, repeated ids and equal rows
-    included; equal rows follow each other in the stream. A null id is kept. An
-    empty table gives an empty result; other columns are ignored. The result
-    depends on the rows only, not on their order or partitions.
+    included. A null id is kept. An empty table gives an empty result; other
+    columns are ignored. The order of the stream is that of the rows in the
+    partitions of ``docs``.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("text_key", F.xxhash64("text", F.length("text"), F.lit(1)))
-    counts = keep(docs.mapInArrow(_counted(tokenizer), "doc_id long, text_key long, tokens long"))
-    placed = offsets(counts)
-    texts = docs.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
-    same = texts["doc_id"].eqNullSafe(placed["doc_id"]) & (texts["text_key"] == placed["text_key"])
-    rows = texts.join(placed, same).select(texts["doc_id"], "text", "copies", "at")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    encoded = keep(rows.mapInArrow(_encoded(tokenizer, end_id), ENCODED))
+    # a row per partition
+    totals = encoded.groupBy("part").agg(F.sum("tokens").alias("total"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    placed = encoded.join(F.broadcast(starts), "part").selectExpr("doc_id", "ids", "start + before at")
     schema = PIECES + (", ids binary" if ids else "")
-    return rows.mapInArrow(_pieces(tokenizer, window, end_id, ids), schema)
-
-
-def offsets(counts: DataFrame) -> DataFrame:
-    """(doc_id, text_key, copies, at): where in the stream the first of a
-    document's equal rows starts. Groups are dealt to buckets by a hash; the
-    window over bucket totals has one row per bucket."""
-    groups = counts.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.max("tokens").alias("tokens"))
-    buckets = max(1, groups.count() // BUCKET_ROWS)
-    groups = groups.selectExpr(
-        "doc_id", "text_key", "copies", "copies * (tokens + 1) size", f"pmod(xxhash64(text_key, doc_id), {buckets}) bucket"
-    )
-    totals = groups.groupBy("bucket").agg(F.sum("size").alias("total"))
-    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("bucket_at"))
-    inside = W.partitionBy("bucket").orderBy("doc_id", "text_key").rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return groups.join(starts, "bucket").selectExpr("doc_id", "text_key", "copies", "bucket_at + inside at")
-
-
-def _counted(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from veilscan.llm.tokens import WordIds
+    return placed.mapInArrow(_pieces(window, ids), schema)
+
+
+ENCODED = "part int, before long, doc_id long, tokens long, ids binary"
 
-        words = WordIds(path)
+
+def _encoded(path: str, end_id: int):
+    """Each document's ids (two bytes each) and its place in the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, closing = word_ids(path), end_id.to_bytes(2, "little")
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            tokens = [len(words.encode(text)) // 4 for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["doc_id", "text_key", "tokens"]
-            )
+            ids = [found + closing for found in words.encode(batch.column(1).to_pylist())]
+            tokens = np.array([len(x) // 2 for x in ids], np.int64)
+            places = before + np.cumsum(tokens) - tokens
+            before += int(tokens.sum())
+            arrays = [
+                pa.array(np.full(len(ids), part, np.int32)),
+                pa.array(places),
+                batch.column(0),
+                pa.array(tokens),
+                pa.array(ids, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "before", "doc_id", "tokens", "ids"])
 
     return run
 
 
-def _pieces(path: str, window: int, end_id: int, with_ids: bool):
+def _pieces(window: int, with_ids: bool):
     names = [part.split()[0] for part in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from veilscan.llm.tokens import WordIds
-
-        words, closing = WordIds(path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows, payload = [], []
-            columns = (batch.column(i).to_pylist() for i in range(4))
-            for doc_id, text, copies, first in zip(*columns, strict=True):
-                ids = words.encode(text) + closing
-                tokens = len(ids) // 4
-                for copy in range(copies):
-                    at, start = first + copy * tokens, 0
-                    while start < tokens:
-                        sequence, offset = divmod(at + start, window)
-                        length = min(tokens - start, window - offset)
-                        piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(piece), tokens, sequence, offset))
-                        if with_ids:
-                            payload.append(piece)
-                        start += length
+            columns = (batch.column(i).to_pylist() for i in range(3))
+            for doc_id, packed, at in zip(*columns, strict=True):
+                ids = np.frombuffer(packed, "<u2").astype("<u4")
+                start = 0
+                while start < len(ids):
+                    sequence, offset = divmod(at + start, window)
+                    piece = ids[start : start + window - offset].tobytes()
+                    length = len(piece) // 4
+                    rows.append((doc_id, start, length, zlib.crc32(piece), len(ids), sequence, offset))
+                    if with_ids:
+                        payload.append(piece)
+                    start += length
             arrays = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))]
             if with_ids:
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(payload, pa.binary())], [*names, "ids"])

@@ -22,7 +22,7 @@ from veilscan.llm.common import prepare
 from veilscan.llm.hashing import U, Words
 
 #: Labelled rows that a model is fitted on, at most.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 FEATURE_BITS = 18
 FACTORS = 4
 #: Bytes of the word beginnings that are features besides whole words.
