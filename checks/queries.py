@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from checks import oracle as O
 from checks import records as R
-from veilscan.functions.storage import ensure_checkpoint_dir
 from veilscan.functions import patterns as P
 from veilscan.functions import scalars as S
+from veilscan.functions import sql
 from veilscan.functions import validators as V
-from veilscan.operators import alerts, events, filters, rollup
+from veilscan.functions.storage import ensure_checkpoint_dir
+from veilscan.operators import alerts, detectors, events, filters, masking, rollup
 from veilscan.operators.masking import mask_array, mask_findings
 from veilscan.operators.scan import scan_table
 from veilscan.plans.mail_scan import scan_messages
@@ -137,7 +138,7 @@ def scan_pages(spark, sf):
 
 
 # every turn also tells a number, so that there is something to find
-_TURN = f"text || ' SSN ' || {R.dashed(R.digits('conv_id + turn', 7919, 104729, 9), 3, 2, 4)}"
+_TURN = f"text || ' SSN ' || {R.dashed(R.digits('(conv_id + 131 * turn)', 7919013, 104729, 9), 3, 2, 4)}"
 
 
 @query(
@@ -811,3 +812,132 @@ def findings_stream(spark, sf):
     )
     run.awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{target}/findings")
+
+
+# --- smaller operators of their own -------------------------------------------------
+
+
+@query(
+    "looks_like_text",
+    """select c_custkey, (c_custkey % 7) * 100 // (length(c_name) + c_custkey % 7) < 5 and c_custkey % 5 <> 0 as is_text
+    from customer""",
+)
+def looks_like_text(spark, sf):
+    control = F.expr("concat(c_name, repeat(chr(1), cast(c_custkey % 7 as int)), if(c_custkey % 5 = 0, chr(0), ''))")
+    return table(spark, sf, "customer").select("c_custkey", files.looks_like_text(control).alias("is_text"))
+
+
+@query("utf16_big_endian", "select c_custkey, 'BE' as plain, 'LE' as marked from customer")
+def utf16_big_endian(spark, sf):
+    text = F.concat("c_name", "c_mktsegment")
+    plain, little = F.encode(text, "UTF-16BE"), F.encode(text, "UTF-16LE")
+    marked = F.concat(F.unhex(F.lit("FFFE")), little)
+    return table(spark, sf, "customer").select(
+        "c_custkey", files.utf16_order(plain).alias("plain"), files.utf16_order(marked).alias("marked")
+    )
+
+
+@query("limit_size", "select c_custkey from customer where c_custkey * 1000 <= 1048576")
+def limit_size(spark, sf):
+    sized = table(spark, sf, "customer").withColumn("length", F.col("c_custkey") * 1000)
+    return files.limit_size(sized, 1).select("c_custkey")
+
+
+@query("attachment_filter", f"select path from {_PATHS} where not regexp_matches(path, '[.]zip$')")
+def attachment_filter(spark, sf):
+    return mail.attachment_filter(paths(spark, sf), "path").select("path")
+
+
+@query(
+    "list_categories",
+    DOC + """ select position, c.category, count(f.category) as findings from (select unnest(range(1, 16))::int as position,
+    unnest(['SSN', 'ITIN', 'Credit Card', 'Email Address', 'Phone Number', 'Date of Birth', 'Driver''s License',
+    'Passport Number', 'Bank Routing Number', 'Bank Account Number', 'Medicare ID (HIPAA)', 'Medical Record Number (HIPAA)',
+    'Diagnosis Code (HIPAA)', 'Document Marking (CMMC)', 'Scope Indicator (CMMC)']) as category) c
+    left join found f on f.category = c.category group by all""",
+)
+def list_categories(spark, sf):
+    found = doc_findings(spark, sf).groupBy("category").agg(F.count("*").alias("findings"))
+    listed = detectors.list_categories(spark).join(found, "category", "left")
+    return listed.select("position", "category", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"))
+
+
+def _exports(spark, sf):
+    return customers(spark, sf, R.credential_file()).select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"), "text"
+    )
+
+
+@query(
+    "attach_secrets",
+    O.detection("customer", "'c' || c_custkey || '.csv'", R.credential_file())
+    + """ select id as path, s as start_at, line, case when line = 4 then 1 when line = 2 and len(id) >= 6 then 1 else -1 end::int as hidden
+    from found""",
+)
+def attach_secrets(spark, sf):
+    exports = _exports(spark, sf)
+    found = scan_table(exports, "path", "text").withColumnRenamed("start", "start_at")
+    with_them = masking.attach_secrets(found, credentials.credential_secrets(exports))
+    return with_them.select("path", "start_at", "line", F.coalesce(F.size("redact"), F.lit(-1)).alias("hidden"))
+
+
+@query(
+    "stream_secrets",
+    O.detection("customer", "'c' || c_custkey || '.csv'", R.credential_file())
+    + " select id as path, s as start_at, category, false as leaks from found",
+)
+def stream_secrets(spark, sf):
+    """Masked findings of password exports, read as a stream would be."""
+    shown_ = scan_stream(_exports(spark, sf), "path", "text").withColumnRenamed("start", "start_at")
+    password = F.concat(F.lit("p,w"), F.regexp_extract("path", "[0-9]+", 0), F.lit('"'))
+    return shown_.select("path", "start_at", "category", F.col("context").contains(password).alias("leaks"))
+
+
+@query(
+    "ocr_text_status",
+    f"""select path, case when c_custkey % 17 = 0 then 'oversize' when {_KIND_SQL} in ('docx', 'xlsx') then 'error'
+    when {_KIND_SQL} = 'mail_store' then 'mail_store' when {_KIND_SQL} = 'unreadable_doc' then 'unreadable_doc'
+    when {_KIND_SQL} = 'binary' then 'skipped' when {_KIND_SQL} in ('text', 'sniff') then 'scanned'
+    when c_custkey % 2 = 0 and c_custkey % 4 = 0 then 'scanned' else 'needs_ocr' end as status from {_PATHS}""",
+)
+def ocr_text_status(spark, sf):
+    listed = paths(spark, sf).select(
+        "path", "c_custkey", F.lit(9).cast("long").alias("length"), F.encode(F.lit("some text"), "UTF-8").alias("content"),
+        files.classify_file(F.col("path")).alias("kind"), F.lit(False).alias("excluded"),
+        (F.col("c_custkey") % 17 == 0).alias("oversize"),
+    )
+    given = listed.where("c_custkey % 2 = 0").select(
+        "path", F.when(F.col("c_custkey") % 4 == 0, F.repeat(F.lit("words "), 9)).otherwise(F.lit(" ")).alias("text"), F.lit(False).alias("ocr")
+    )
+    return files.extract_text(listed, ocr_text=given, ocr=True).select("path", "status")
+
+
+@query("gap_alerts", f"select path, 'needs_ocr' as event, 100955 as rule_id, 5 as level from {_PATHS}")
+def gap_alerts(spark, sf):
+    gaps = events.needs_ocr_events(paths(spark, sf), F.expr(NOW), F.lit("h1"))
+    for name in ("confidence", "category_id", "subject", "attachment"):
+        gaps = gaps.withColumn(name, F.lit(None).cast("string"))
+    return alerts.assign_alerts(gaps.withColumn("ocr", F.lit(None).cast("boolean"))).select("path", "event", "rule_id", "level")
+
+
+@query(
+    "sql_functions",
+    f"select c_custkey, {O.mask('c_name')} as masked, {O.slug('c_mktsegment')} as slug, {O.valid_aba(R.digits('c_custkey', 7919, 17, 9))} as aba from customer",
+)
+def sql_functions(spark, sf):
+    sql.register_functions(spark)
+    number = R.digits("c_custkey", 7919, 17, 9)
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey", "pii_mask(c_name) masked", "pii_category_slug(c_mktsegment) slug", f"pii_aba({number}) aba"
+    )
+
+
+@query(
+    "register_detector",
+    r"""select doc_id, count(*)::bigint as hits from (select doc_id,
+    unnest(regexp_extract_all(text, '\b[0-9]{3}[.][0-9]{2}\b')) from documents) group by doc_id""",
+)
+def register_detector(spark, sf):
+    own = detectors.register_detector(detectors.Detector("Price", r"\b[0-9]{3}[.][0-9]{2}\b"), detectors.Registry(()))
+    found = scan_table(documents(spark, sf), "doc_id", "text", registry=own)
+    return found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("hits"))
