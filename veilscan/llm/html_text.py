@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +75,7 @@ def parse(page: str) -> Element:
     way a browser would in the common cases."""
     root = Element("html", {})
     stack, at = [root], 0
+    open_tags: Counter[str] = Counter()
     while True:
         token = _TOKEN.search(page, at)
         if token is None:
@@ -85,9 +87,11 @@ def parse(page: str) -> Element:
         if not tag or tag in ("html", "body"):
             continue
         if token[1]:
-            _close(stack, tag)
+            if open_tags[tag] > 0:
+                _close(stack, tag, open_tags)
             continue
-        _imply(stack, tag)
+        if tag in CLOSES_P or tag in CLOSES_SAME:
+            _imply(stack, tag, open_tags)
         element = Element(tag, _attributes(token[3]))
         stack[-1].inner.append(element)
         if tag in RAW:
@@ -95,6 +99,7 @@ def parse(page: str) -> Element:
             at = end.end() if end else len(page)
         elif tag not in VOID and not token[3].endswith("/"):
             stack.append(element)
+            open_tags[tag] += 1
     if at < len(page):
         stack[-1].inner.append(html.unescape(page[at:]))
     return root
@@ -107,21 +112,25 @@ def _attributes(source: str) -> dict[str, str]:
     return {name.lower(): html.unescape(a or b or c) for name, a, b, c in found}
 
 
-def _close(stack: list[Element], tag: str) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag == tag:
-            del stack[depth:]
-            return
+def _end(stack: list[Element], depth: int, open_tags: Counter) -> None:
+    for element in stack[depth:]:
+        open_tags[element.tag] -= 1
+    del stack[depth:]
+
 
+def _close(stack: list[Element], tag: str, open_tags: Counter) -> None:
+    depth = next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag)
+    _end(stack, depth, open_tags)
 
-def _imply(stack: list[Element], tag: str) -> None:
+
+def _imply(stack: list[Element], tag: str, open_tags: Counter) -> None:
     """End what a new ``tag`` ends: an open paragraph with all inside it, an
     open item of the same list, and the head."""
     ends = CLOSES_SAME.get(tag, ())
     for depth in range(len(stack) - 1, 0, -1):
         name = stack[depth].tag
         if name in ends or (name == "p" and tag in CLOSES_P) or (name == "head" and tag in BLOCKS):
-            del stack[depth:]
+            _end(stack, depth, open_tags)
             return
         if name in BLOCKS and name != "p":
             return
@@ -144,25 +153,25 @@ def _noise(element: Element, inside: bool) -> bool:
 
 
 def main_element(root: Element) -> Element:
-    """The article: the <main> or, without one, <article> with most text; the
-    whole page if it has neither."""
+    """The article: the <main> or, without one, <article> with most text (of
+    nested ones the outermost); the whole page if it has neither."""
     best: dict[str, tuple[int, Element]] = {}
-    stack = [(root, False)]
+    stack = [root]
     while stack:
-        element, inside = stack.pop()
-        kind = "main" if element.tag == "main" or element.attributes.get("role") == "main" else element.tag
+        element = stack.pop()
+        kind = "main" if element.attributes.get("role") == "main" else element.tag
         if kind in ("main", "article"):
-            size = sum(len(b) for b in blocks(element, frozenset()))
+            size = sum(len(b) for b in blocks(element))
             if size > best.get(kind, (-1, None))[0]:
                 best[kind] = (size, element)
-            if kind == "article":
-                continue
-        stack += [(x, inside) for x in element.inner[::-1] if isinstance(x, Element) and not _noise(x, False)]
+            continue
+        stack += [x for x in element.inner[::-1] if isinstance(x, Element) and not _noise(x, False)]
     return best.get("main", best.get("article", (0, root)))[1]
 
 
-def blocks(element: Element, templates: frozenset[bytes], inside: bool = True) -> list[str]:
-    """Texts of the blocks in page order, white space made single spaces."""
+def blocks(element: Element, dropped: frozenset[int] | set[int] = frozenset(), inside: bool = True) -> list[str]:
+    """Texts of the blocks in page order, white space made single spaces;
+    without the elements whose id() is ``dropped``."""
     out, run = [], []
 
     def flush() -> None:
@@ -172,7 +181,7 @@ def blocks(element: Element, templates: frozenset[bytes], inside: bool = True) -
             out.append(text)
 
     # a None on the stack ends the block that was opened below it
-    stack: list = [x for x in element.inner[::-1]]
+    stack: list = element.inner[::-1]
     while stack:
         item = stack.pop()
         if item is None:
@@ -181,7 +190,7 @@ def blocks(element: Element, templates: frozenset[bytes], inside: bool = True) -
             run.append(item)
         elif item.tag == "br":
             run.append(" ")
-        elif not _noise(item, inside) and not (templates and item.tag in CANDIDATES and mark(item) in templates):
+        elif not _noise(item, inside) and id(item) not in dropped:
             if item.tag in BLOCKS:
                 flush()
                 stack.append(None)
@@ -190,38 +199,28 @@ def blocks(element: Element, templates: frozenset[bytes], inside: bool = True) -
     return out
 
 
-def mark(element: Element) -> bytes:
-    """Hash of an element with all that it holds."""
-    parts, stack = [], [element]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            parts.append(_BLANK.sub(" ", item).strip())
-        elif item is None:
-            parts.append("/")
-        else:
-            parts.append(f"<{item.tag} {item.attributes.get('class', '')}>")
-            stack.append(None)
-            stack += item.inner[::-1]
-    return hashlib.blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-
-
-def candidates(root: Element, main: Element) -> set[bytes]:
-    """Marks of the containers that may be template: all but those around the
-    article."""
-    around, path = {id(main), id(root)}, [(root, (root,))]
-    while path:
-        element, above = path.pop()
-        if element is main:
-            around.update(map(id, above))
-        path += [(x, (*above, x)) for x in element.inner if isinstance(x, Element)]
-    found, stack = set(), [root]
-    while stack:
-        element = stack.pop()
-        if element.tag in CANDIDATES and id(element) not in around:
-            found.add(mark(element))
-        stack += [x for x in element.inner if isinstance(x, Element)]
-    return found
+def candidates(root: Element, main: Element) -> list[tuple[Element, bytes]]:
+    """The containers that may be template, all but those around the article,
+    each with a hash of all that it holds."""
+    order, above = [root], {}
+    for element in order:  # parents before children; the list grows on the way
+        for item in element.inner:
+            if isinstance(item, Element):
+                above[id(item)] = element
+                order.append(item)
+    around, at = {id(main), id(root)}, main
+    while (at := above.get(id(at))) is not None:
+        around.add(id(at))
+    marks: dict[int, bytes] = {}
+    for element in reversed(order):
+        whole = hashlib.blake2b(f"{element.tag} {element.attributes.get('class', '')}".encode("utf-8", "surrogatepass"), digest_size=8)
+        for item in element.inner:
+            if isinstance(item, str):
+                whole.update(b"\0" + _BLANK.sub(" ", item).strip().encode("utf-8", "surrogatepass"))
+            else:
+                whole.update(b"\1" + marks[id(item)])
+        marks[id(element)] = whole.digest()
+    return [(x, marks[id(x)]) for x in order if x.tag in CANDIDATES and id(x) not in around]
 
 
 # --- Spark ------------------------------------------------------------------
@@ -267,8 +266,8 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             root = parse(page)
             main = main_element(root)
-            article = hashlib.blake2b("\n".join(blocks(main, frozenset())).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            found = [None, *candidates(root, main)]
+            article = hashlib.blake2b("\n".join(blocks(main)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            found = [None, *{mark for _, mark in candidates(root, main)}]
             hosts += [host] * len(found)
             marks += found
             articles += [article] * len(found)
@@ -283,8 +282,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             root = parse(page)
             main = main_element(root)
-            found = blocks(main, frozenset(marks or ()), inside=main is not root)
-            texts.append("\n".join(found).encode("utf-8", "replace").decode())
+            known = set(marks or ())
+            dropped = {id(element) for element, mark in candidates(root, main) if mark in known} if known else set()
+            texts.append("\n".join(blocks(main, dropped, inside=main is not root)).encode("utf-8", "replace").decode())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["page_id", "url", "text", "n_chars"],
