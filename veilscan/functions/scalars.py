@@ -58,11 +58,13 @@ def cef_escape_ext(value: Column) -> Column:
 
 
 def cef_unescape(value: Column) -> Column:
-    """Inverse of both escapes."""
-    held = "﷐"  # a noncharacter stands in for the escaped backslash
-    return _replace(
-        value, ("\\\\", held), ("\\=", "="), ("\\|", "|"), ("\\n", "\n"), ("\\r", "\r"), (held, "\\")
+    """Inverse of both escapes. Between escaped backslashes every other escape
+    stands alone."""
+    between = F.transform(
+        F.split(value, r"\\\\", -1),
+        lambda part: _replace(part, ("\\=", "="), ("\\|", "|"), ("\\n", "\n"), ("\\r", "\r")),
     )
+    return F.when(value.contains("\\"), F.array_join(between, "\\")).otherwise(value)
 
 
 def category_slug(category: Column) -> Column:

@@ -237,72 +237,65 @@ def syslog_frame(
     )
 
 
-def _cef_value(extension: Column, key: str) -> Column:
-    """The value of ``key``: everything up to the next `` name=``.  A '=' inside
-    a value is always escaped, so an unescaped one ends a name."""
-    raw = F.regexp_extract(extension, rf"(?s)(?:^| ){key}=((?:[^=\\]++|\\.)*+=?)", 1)
-    found = extension.rlike(rf"(?:^| ){key}=")
-    return F.when(found, cef_unescape(F.regexp_replace(raw, "(?:^| )[A-Za-z0-9]+=\\z", "")))
+_PART = r"(?:[^|\\]|\\.)*+"
+_HEAD = rf"(?s)CEF:0((?:\|{_PART}){{5}}\|\d+)\|"
+# a value ends before the next `` name=``; a '=' inside it is always escaped
+_PAIR = r"(?s)(?:\A| )([A-Za-z0-9]+)=((?:[^\\= ]|\\.| (?![A-Za-z0-9]+=))*+)"
 
 
 def parse_cef(lines: DataFrame, value: str = "value") -> DataFrame:
     """CEF lines, with or without a syslog header, as event columns.
 
     Four shapes: mail finding, finding, needs-ocr and summary.  Wrapped JSON
-    payloads are read as well.
+    payloads are read as well. The header and the extension are searched once
+    each; of a key that is repeated the first value counts.
     """
     line = F.col(value)
-    part = r"((?:[^|\\]++|\\.)*+)"
-    header = rf"(?s)CEF:0\|{part}\|{part}\|{part}\|{part}\|{part}\|(\d+)\|(.*)\z"
-
-    def head(i: int) -> Column:
-        return cef_unescape(F.regexp_extract(line, header, i))
-
-    parsed = lines.where(line.contains("CEF:0|")).select(
+    cut = lines.where(line.contains("CEF:0|")).select(
         "*",
-        head(2).alias("tool"),
-        head(3).alias("version"),
-        head(4).alias("signature"),
-        head(5).alias("name"),
-        F.regexp_extract(line, header, 6).cast("int").alias("severity"),
-        F.regexp_extract(line, header, 7).alias("_ext"),
+        F.regexp_extract_all(F.regexp_extract(line, _HEAD, 1), F.lit(rf"(?s)\|({_PART})"), 1).alias("_head"),
+        F.regexp_extract(line, rf"{_HEAD}(.*)\z", 2).alias("_ext"),
+    )
+    pairs = cut.select(
+        *lines.columns,
+        "_head",
+        F.regexp_extract_all("_ext", F.lit(_PAIR), 1).alias("_keys"),
+        F.regexp_extract_all("_ext", F.lit(_PAIR), 2).alias("_values"),
     )
-    ext = F.col("_ext")
+    signature = cef_unescape(F.get("_head", F.lit(3)))
     kind = (
-        F.when(F.col("signature") == "needs-ocr", F.lit("needs_ocr"))
-        .when(F.col("signature") == "scan-summary", F.lit("scan_summary"))
+        F.when(signature == "needs-ocr", F.lit("needs_ocr"))
+        .when(signature == "scan-summary", F.lit("scan_summary"))
         .otherwise(F.lit("finding"))
     )
-    is_finding, is_summary = F.col("event") == "finding", F.col("event") == "scan_summary"
-
-    def if_finding(key: str) -> Column:
-        return F.when(is_finding, _cef_value(ext, key))
-
-    return (
-        parsed.withColumn("event", kind)
-        .select(
-            *lines.columns,
-            "tool",
-            "version",
-            "event",
-            F.when(is_finding, F.col("signature")).alias("category_id"),
-            "severity",
-            _cef_value(ext, "filePath").alias("path"),
-            _cef_value(ext, "fname").alias("file_name"),
-            if_finding("cn1").cast("int").alias("line"),
-            if_finding("cs1").alias("category"),
-            if_finding("cs2").alias("confidence"),
-            if_finding("cs3").alias("match"),
-            if_finding("cs4").alias("folder"),
-            if_finding("cs5").alias("subject"),
-            if_finding("cs6").alias("date"),
-            if_finding("suser").alias("from"),
-            if_finding("flexString1").alias("attachment"),
-            F.when(is_summary, _cef_value(ext, "cn1")).cast("long").alias("findings"),
-            F.when(is_summary, _cef_value(ext, "cn2")).cast("long").alias("files_scanned"),
-            F.when(is_summary, _cef_value(ext, "cn3")).cast("long").alias("files_need_ocr"),
-            _cef_value(ext, "msg").alias("context"),
-        )
+    parsed = pairs.withColumn("event", kind)
+
+    def of(key: str, event: str | None = None) -> Column:
+        found = F.get("_values", F.array_position("_keys", key).cast("int") - 1)
+        return cef_unescape(found if event is None else F.when(F.col("event") == event, found))
+
+    return parsed.select(
+        *lines.columns,
+        cef_unescape(F.get("_head", F.lit(1))).alias("tool"),
+        cef_unescape(F.get("_head", F.lit(2))).alias("version"),
+        "event",
+        F.when(F.col("event") == "finding", signature).alias("category_id"),
+        F.get("_head", F.lit(5)).cast("int").alias("severity"),
+        of("filePath").alias("path"),
+        of("fname").alias("file_name"),
+        of("cn1", "finding").cast("int").alias("line"),
+        of("cs1", "finding").alias("category"),
+        of("cs2", "finding").alias("confidence"),
+        of("cs3", "finding").alias("match"),
+        of("cs4", "finding").alias("folder"),
+        of("cs5", "finding").alias("subject"),
+        of("cs6", "finding").alias("date"),
+        of("suser", "finding").alias("from"),
+        of("flexString1", "finding").alias("attachment"),
+        of("cn1", "scan_summary").cast("long").alias("findings"),
+        of("cn2", "scan_summary").cast("long").alias("files_scanned"),
+        of("cn3", "scan_summary").cast("long").alias("files_need_ocr"),
+        of("msg").alias("context"),
     )
 
 
