@@ -23,7 +23,7 @@ from veilscan.operators import alerts, detectors, events, filters, masking, roll
 from veilscan.operators.masking import mask_array, mask_findings
 from veilscan.operators.scan import scan_table
 from veilscan.plans.mail_scan import scan_messages
-from veilscan.sources import credentials, files, mail
+from veilscan.sources import credentials, files, mail, reports
 from veilscan.streaming.stream import scan_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -941,3 +941,20 @@ def register_detector(spark, sf):
     own = detectors.register_detector(detectors.Detector("Price", r"\b[0-9]{3}[.][0-9]{2}\b"), detectors.Registry(()))
     found = scan_table(documents(spark, sf), "doc_id", "text", registry=own)
     return found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("hits"))
+
+
+@query(
+    "scan_history",
+    CUST + """ select 'scan-2024-02-05_000000' as name, count(*) as findings from found union all
+    select 'scan-2024-02-06_000000', count(*) from found where confidence = 'high'""",
+)
+def scan_history(spark, sf):
+    """The archive of two runs, read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
+    for day, level in (("2024-02-05", "low"), ("2024-02-06", "high")):
+        found = customer_findings(spark, sf, min_confidence=level)
+        coverage = table(spark, sf, "customer").selectExpr("cast(c_custkey as string) path", "'scanned' status")
+        summary = rollup.run_summary(found, coverage, roots=["customer"], duration="1s")
+        header = reports.report_header(summary, F.lit(day).cast("timestamp"))
+        reports.archive_run(header, found, folder)
+    return reports.scan_history(reports.read_archive(spark, folder)).select("name", "findings")

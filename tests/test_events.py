@@ -8,6 +8,7 @@ from veilscan.sources.eventlog import from_lines, only_findings, read_events
 from veilscan.sources.manifest import ScanSettings, describe_params, load_manifest, merge_settings, params_column
 from veilscan.sources.reports import (
     archive_run,
+    read_archive,
     csv_rows,
     read_reports,
     report_header,
@@ -146,9 +147,10 @@ def test_report_and_archive(spark, findings, tmp_path):
     write_report_json(header, findings, str(tmp_path / "run"))
     assert spark.read.json(str(tmp_path / "run/report")).first()["finding_count"] == 1
     assert spark.read.json(str(tmp_path / "run/findings")).count() == 1
-    for _ in range(2):
-        archive_run(findings, now(), str(tmp_path / "archive"))
-    assert spark.read.parquet(str(tmp_path / "archive")).where("run_date = '2026-07-02'").count() == 2
+    names = [archive_run(header, findings, str(tmp_path / "archive")) for _ in range(2)]
+    assert spark.read.parquet(str(tmp_path / "archive/findings")).where(F.col("run") == names[0]).count() == 2
+    history = scan_history(read_archive(spark, str(tmp_path / "archive"))).collect()
+    assert [(r["name"], r["findings"], r["params"]["max_size_mb"]) for r in history] == [(names[0], 1, 2048)] * 2
     lines = {r["label"]: r["value"] for r in describe_params(header.select("params")).collect()}
     assert lines["largest file"] == "2048 MiB" and lines["excluded"] == "*.bak" and lines["categories"] == "-"
 

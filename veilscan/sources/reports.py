@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.functions.scalars import csv_safe, file_name
 from veilscan.schema import REPORT
@@ -36,7 +37,9 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_history(reports: DataFrame) -> DataFrame:
-    """One line per archived scan, newest first."""
+    """One line per archived scan, newest first: of reports read from files or
+    of an archive."""
+    held = F.size("findings").cast("long") if "findings" in reports.columns else F.col("finding_count")
     return reports.select(
         "name",
         F.to_timestamp("generated_at").alias("generated_at"),
@@ -44,7 +47,7 @@ def scan_history(reports: DataFrame) -> DataFrame:
         "roots",
         "masked",
         "duration",
-        F.coalesce(F.size("findings"), F.lit(0)).alias("findings"),
+        F.coalesce(held, F.lit(0)).alias("findings"),
         F.coalesce(F.col("stats.files_scanned"), F.lit(0)).alias("files_scanned"),
         "params",
     ).orderBy(F.desc("generated_at"))
@@ -93,8 +96,20 @@ def write_report_json(header: DataFrame, findings: DataFrame, folder: str, *, or
     findings.orderBy(*order).write.mode("overwrite").json(f"{folder}/findings")
 
 
-def archive_run(findings: DataFrame, run_at: Column, folder: str) -> None:
-    """Add a run to the archive, partitioned by day."""
-    findings.withColumn("run_at", run_at).withColumn("run_date", F.to_date("run_at")).write.mode(
-        "append"
-    ).partitionBy("run_date").parquet(folder)
+def archive_run(header: DataFrame, findings: DataFrame, folder: str) -> str:
+    """Add a run to the archive and return its name: its header (one row) goes
+    to ``folder/reports``, its findings to ``folder/findings``."""
+    made = F.to_timestamp("generated_at")
+    name = F.concat(F.lit("scan-"), F.date_format(made, "yyyy-MM-dd_HHmmss"))
+    run = header.select(name).head()[0]
+    header.withColumn("name", F.lit(run)).write.mode("append").json(f"{folder}/reports")
+    findings.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/findings")
+    return run
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The headers of archived runs, for :func:`scan_history`; findings are
+    counted in them and stay where they are."""
+    kept = [f for f in REPORT if f.name != "findings"]
+    counted = [T.StructField("finding_count", T.LongType()), T.StructField("name", T.StringType())]
+    return spark.read.schema(T.StructType([*kept, *counted])).json(f"{folder}/reports")
