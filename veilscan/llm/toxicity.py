@@ -22,7 +22,7 @@ from veilscan.llm.common import prepare
 from veilscan.llm.hashing import U, Words
 
 #: Labelled rows that a model is fitted on, at most.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 FEATURE_BITS = 18
 FACTORS = 4
 #: Bytes of the word beginnings that are features besides whole words.
@@ -169,9 +169,11 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
 
 def telling(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Marks the terms that occur with one label more than chance explains."""
-    size, none = 1 << FEATURE_BITS, np.zeros(0, np.int32)
-    everywhere = np.bincount(np.concatenate([none, *texts]), minlength=size)
-    toxic = np.bincount(np.concatenate([none, *(x for x, y in zip(texts, labels, strict=True) if y)]), minlength=size)
+    everywhere, toxic = (np.zeros(1 << FEATURE_BITS, np.int64) for _ in range(2))
+    for text, label in zip(texts, labels, strict=True):  # a text's terms are distinct
+        everywhere[text] += 1
+        if label:
+            toxic[text] += 1
     share = toxic.sum() / max(1, everywhere.sum())
     errors = np.abs(toxic - share * everywhere) / np.sqrt(share * (1 - share) * everywhere + 1e-9)
     errors[everywhere < MIN_TEXTS] = 0
