@@ -8,6 +8,8 @@ import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
+
 #: Words whose ids a worker remembers before it starts over.
 REMEMBERED = 1_000_000
 #: Words encoded at a time.
@@ -34,7 +36,7 @@ class WordIds(dict):
             self.clear()
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         for word, encoding in zip(words, found, strict=True):
-            self[word] = b"".join([i.to_bytes(2, "little") for i in encoding.ids])
+            self[word] = np.array(encoding.ids, "<u2").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         self.learn([word])
