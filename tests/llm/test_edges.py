@@ -348,6 +348,36 @@ def test_html(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_near_copies(spark):
+    """A body whose copies differ in headline and one line is no template, a
+    notice on some of very many articles is."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    body = [passage(f"b{i}x", 60) for i in range(6)]
+    notice = "<div class=k3>Read our terms before you go on</div>"
+    pages, wanted = {}, {}
+
+    def add(host, page, text):
+        i = len(pages)
+        pages[i], wanted[i] = (f"http://{host}/{i}", page), text
+
+    for i in range(100):
+        paragraphs = "".join(f"<p>{x}</p>" for x in body)
+        text = "\n".join(body)
+        add("copies", f"<article><h1>Head {i}</h1><div>{paragraphs}</div></article>", f"Head {i}\n{text}")
+        own = [*body[:3], f"line {i}", *body[3:]]  # two halves, only the second of them equal
+        halves = ["".join(f"<p>{x}</p>" for x in own[a : a + 4]) for a in (0, 4)]
+        add("halves", f"<h1>Head {i}</h1><section>{halves[0]}</section><section>{halves[1]}</section>", "\n".join([f"Head {i}", *own]))
+        add("plain", f"<h1>Head {i}</h1><div>{paragraphs}</div>", f"Head {i}\n{text}")
+    for i in range(300):
+        own = " ".join(f"v{x}" for x in rng.integers(0, 5000, 60))
+        add("hot", f"<article><h1>Head {i}</h1><p>{own}</p>{notice if i % 5 == 0 else ''}</article>", f"Head {i}\n{own}")
+        if i < 220:
+            add("copies", f"<article><p>{own}</p></article>", own)
+    table = spark.createDataFrame([(i, *x) for i, x in pages.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(table).collect()}
+    assert [i for i in wanted if got[i] != wanted[i]] == []
+
+
 def test_quality(spark, docs, empty, texts):
     got = Counter()
     for r in quality_rules.judge(docs).collect():

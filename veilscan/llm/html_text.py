@@ -3,10 +3,12 @@
 Every container element of a page is hashed with all that it holds. Spark counts
 for each host on how many different articles an element occurs; what recurs on
 many of a host's articles (menus, notices, footers, share bars) is template and
-is deleted with its subtree. Pages that copy one article count once, so an
-article does not become template by being copied. The page's article, its
-headings and its paragraphs are never candidates. What tags, roles and class
-names say about an element is used besides.
+is deleted with its subtree. Pages whose articles are copies or near copies of
+each other count once, so an article does not become template by being copied or
+changed a little. The page's article, its headings and paragraphs, and a
+container that holds most of the article's text outside links are never
+candidates. What tags, roles and class names say about an element is used
+besides.
 """
 
 from __future__ import annotations
@@ -17,17 +19,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import keep, prepare
+from veilscan.llm.hashing import U, Words, mix64
 
-#: An element is template on a host when it is on so many articles, and on
-#: this share of the host's articles.
+#: An element is template on a host when it is on so many articles, and either
+#: on this share of the host's articles or on many of them.
 MIN_ARTICLES = 4
 MIN_SHARE = 0.3
-#: Parts that a host's rows are dealt to.
+MANY_ARTICLES = 50
+#: Near copies agree in one of BANDS keys, each of ROWS smallest hashes of the
+#: article's runs of RUN words.
+BANDS, ROWS, RUN = 8, 4, 3
+#: Parts that a hot key's rows are dealt to.
 SALTS = 16
 
 # Names from the HTML standard and common class names; fixed values.
@@ -199,9 +207,10 @@ def blocks(element: Element, dropped: frozenset[int] | set[int] = frozenset(), i
     return out
 
 
-def candidates(root: Element, main: Element) -> list[tuple[Element, bytes]]:
-    """The containers that may be template, all but those around the article,
-    each with a hash of all that it holds."""
+def candidates(root: Element, main: Element) -> list[tuple[Element, int, bool]]:
+    """The containers that may be template, all but those around the article
+    and those with most of its text, each with a hash of all that it holds and
+    whether its text is part of the article's. Those without text are left out."""
     order, above = [root], {}
     for element in order:  # parents before children; the list grows on the way
         for item in element.inner:
@@ -211,16 +220,58 @@ def candidates(root: Element, main: Element) -> list[tuple[Element, bytes]]:
     around, at = {id(main), id(root)}, main
     while (at := above.get(id(at))) is not None:
         around.add(id(at))
+    inside = {id(main)}
+    for element in order:
+        parent = above.get(id(element))
+        if parent is not None and id(parent) in inside and not _noise(element, main is not root):
+            inside.add(id(element))
     marks: dict[int, bytes] = {}
+    # characters of all text, and of the article's text outside links
+    whole, prose = {}, {}
     for element in reversed(order):
-        whole = hashlib.blake2b(f"{element.tag} {element.attributes.get('class', '')}".encode("utf-8", "surrogatepass"), digest_size=8)
+        mark = hashlib.blake2b(f"{element.tag} {element.attributes.get('class', '')}".encode("utf-8", "surrogatepass"), digest_size=8)
+        size = own = 0
         for item in element.inner:
             if isinstance(item, str):
-                whole.update(b"\0" + _BLANK.sub(" ", item).strip().encode("utf-8", "surrogatepass"))
+                text = _BLANK.sub(" ", item).strip()
+                mark.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+                size += len(text)
+                own += len(text)
             else:
-                whole.update(b"\1" + marks[id(item)])
-        marks[id(element)] = whole.digest()
-    return [(x, marks[id(x)]) for x in order if x.tag in CANDIDATES and id(x) not in around]
+                mark.update(b"\1" + marks[id(item)])
+                size += whole[id(item)]
+                own += prose[id(item)]
+        marks[id(element)] = mark.digest()
+        whole[id(element)] = size
+        prose[id(element)] = own if id(element) in inside and element.tag != "a" else 0
+    most = prose[id(main)] / 2
+    return [
+        (x, int.from_bytes(marks[id(x)], "little", signed=True), id(x) in inside)
+        for x in order
+        if x.tag in CANDIDATES and id(x) not in around and whole[id(x)] and not prose[id(x)] > most
+    ]
+
+
+def near_copy_keys(texts: list[str]) -> np.ndarray:
+    """BANDS keys for each text; texts with nearly the same words have one in
+    common. Texts without words have the same keys."""
+    words = Words(pa.array(texts, pa.large_string()), lower=True, terms=True)
+    hashes = words.hashes.copy()
+    last = np.zeros(len(hashes), bool)  # where a run would leave the text
+    ends = words.rows[1:]
+    for back in range(1, RUN):
+        at = ends - back
+        last[at[at >= words.rows[:-1]]] = True
+    hashes[~last] = words.runs(RUN)[~last]
+    full = np.flatnonzero(words.rows[1:] > words.rows[:-1])
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    for band in range(BANDS):
+        for row in range(ROWS):
+            seed = mix64(np.array([ROWS * band + row + 1], np.uint64))
+            if len(full):
+                least = np.minimum.reduceat(mix64(hashes ^ seed), words.rows[:-1][full])
+                keys[full, band] = mix64(keys[full, band] + least)
+    return keys.view(np.int64)
 
 
 # --- Spark ------------------------------------------------------------------
@@ -240,40 +291,76 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host")
     )
-    templates = site_templates(rows)
+    rows = rows.withColumn("page", F.md5(F.encode("html", "UTF-8")))
+    seen = rows.select("host", "page", "html").mapInArrow(
+        _marked, "host string, page string, article long, mark long, inside boolean, keys array<long>"
+    )
+    seen = keep(seen)
+    templates = site_templates(seen)
+    # a mark of many pages and a page of many copies are dealt to several tasks
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    inside = seen.where("inside").select("host", "page", "mark").distinct().withColumn("salt", F.expr(f"pmod(xxhash64(page), {SALTS})"))
+    marks = inside.join(templates.withColumn("salt", every), ["host", "mark", "salt"])
+    marks = marks.groupBy("host", "page").agg(F.collect_list("mark").alias("marks")).withColumn("salt", every)
     salt = F.expr(f"pmod(xxhash64(page_id, url), {SALTS})")
-    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = rows.withColumn("salt", salt).join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "marks")
+    joined = rows.withColumn("salt", salt).join(marks, ["host", "page", "salt"], "left").select("page_id", "url", "html", "marks")
     schema = joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     return joined.mapInArrow(_extracted, schema).toDF(id_col, url_col, "text", "n_chars")
 
 
-def site_templates(rows: DataFrame) -> DataFrame:
-    """(host, marks): the elements that recur across a host's articles. A
-    host's array is bounded, as each mark is on a fixed share of its articles."""
-    seen = rows.select("host", "html").mapInArrow(_marked, "host string, mark binary, article binary").distinct()
-    counts = keep(seen.groupBy("host", "mark").agg(F.count("*").alias("articles")))
+def site_templates(seen: DataFrame) -> DataFrame:
+    """(host, mark), one row for each element that recurs across a host's
+    articles, near copies of one counted once."""
+    groups = article_groups(seen.where("mark is null").select("host", "article", "keys").dropDuplicates(["host", "article"]))
+    found = seen.select("host", "article", "mark").distinct().join(groups, ["host", "article"], "left")
+    found = found.select("host", "mark", F.coalesce("first", "article").alias("article")).distinct()
+    counts = keep(found.groupBy("host", "mark").agg(F.count("*").alias("articles")))
     total = counts.where("mark is null").select("host", F.col("articles").alias("total"))
     recurring = counts.where(f"mark is not null and articles >= {MIN_ARTICLES}").join(total, "host")
-    return recurring.where(f"articles >= {MIN_SHARE} * total").groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    return recurring.where(f"articles >= least({MIN_SHARE} * total, {MANY_ARTICLES})").select("host", "mark")
+
+
+def article_groups(articles: DataFrame) -> DataFrame:
+    """(host, article, first) for the articles that share a key with others:
+    the smallest of these articles, the same for nearly all of a group."""
+    keyed = articles.selectExpr("host", "article", "posexplode(keys) as (band, key)")
+    keyed = keyed.selectExpr("host", "article", "xxhash64(host, band, key) key")
+    shared = keyed.groupBy("key").agg(F.min("article").alias("first"), F.count("*").alias("members")).where("members > 1")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    dealt = keyed.withColumn("salt", F.expr(f"pmod(xxhash64(article), {SALTS})"))
+    return dealt.join(shared.withColumn("salt", every), ["key", "salt"]).groupBy("host", "article").agg(F.min("first").alias("first"))
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each candidate element of a page, and one without a mark that
-    counts the article."""
+    counts the article and holds its near-copy keys."""
     for batch in batches:
-        hosts, marks, articles = [], [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root = parse(page)
+        hosts, pages, articles, marks, inside, texts, first = [], [], [], [], [], [], []
+        for host, page, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            root = parse(source)
             main = main_element(root)
-            article = hashlib.blake2b("\n".join(blocks(main)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            found = [None, *{mark for _, mark in candidates(root, main)}]
-            hosts += [host] * len(found)
-            marks += found
-            articles += [article] * len(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(marks, pa.binary()), pa.array(articles, pa.binary())], ["host", "mark", "article"]
-        )
+            text = "\n".join(blocks(main, inside=main is not root)).encode("utf-8", "replace")
+            article = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+            found = {(mark, within) for _, mark, within in candidates(root, main)}
+            first.append(len(hosts))
+            texts.append(text.decode())
+            hosts += [host] * (len(found) + 1)
+            pages += [page] * (len(found) + 1)
+            articles += [article] * (len(found) + 1)
+            marks += [None, *(mark for mark, _ in found)]
+            inside += [False, *(within for _, within in found)]
+        keys: list = [None] * len(hosts)
+        for at, own in zip(first, near_copy_keys(texts).tolist(), strict=True):
+            keys[at] = own
+        columns = [
+            pa.array(hosts, pa.string()),
+            pa.array(pages, pa.string()),
+            pa.array(articles, pa.int64()),
+            pa.array(marks, pa.int64()),
+            pa.array(inside, pa.bool_()),
+            pa.array(keys, pa.list_(pa.int64())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "page", "article", "mark", "inside", "keys"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +370,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(page)
             main = main_element(root)
             known = set(marks or ())
-            dropped = {id(element) for element, mark in candidates(root, main) if mark in known} if known else set()
+            dropped = {id(element) for element, mark, _ in candidates(root, main) if mark in known} if known else set()
             texts.append("\n".join(blocks(main, dropped, inside=main is not root)).encode("utf-8", "replace").decode())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
