@@ -177,6 +177,33 @@ def test_toxicity_of_pairs():
     assert both > 0 > max(one, two)
 
 
+def test_toxicity_of_pairs_of_weak_terms():
+    """Two terms whose own shares are near the base rate, toxic only together."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    texts, labels = [], []
+    for _ in range(6000):
+        a, b = rng.random(2) < 0.1
+        toxic = (a and b) or rng.random() < (0.03 if a or b else 0.11)
+        texts.append(np.array(sorted({*rng.integers(100, 1000, 60), *([1] if a else []), *([2] if b else [])}), np.int32))
+        labels.append(float(toxic))
+    counts = toxicity.term_counts(texts, np.array(labels))
+    assert not toxicity.telling(*counts)[[1, 2]].any()
+    model = toxicity.train(texts, np.array(labels))
+    one, two, both = model.logits(np.array([1, 2, 1, 2]), np.array([0, 1, 2, 4]))
+    assert both > 0 > max(one, two)
+
+
+def test_toxicity_of_rare_terms(spark):
+    """A term that the training sample misses still counts."""
+    rows = [(i, f"w{i % 50} w{i % 7}" + (" gruml" if i % 40 == 0 else "")) for i in range(2400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = table.selectExpr("doc_id", "cast(doc_id % 40 = 0 or doc_id % 11 = 0 as int) toxic")
+    model = toxicity.fit(table, labels, rows=40)
+    asked = spark.createDataFrame([(1, "w1 w2 gruml"), (2, "w1 w2")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(asked, model).collect()}
+    assert got[1] > got[2] + 0.2
+
+
 def test_top_products(spark):
     rng = np.random.Generator(np.random.PCG64(4))
     rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(400)]
