@@ -222,6 +222,14 @@ def test_top_products(spark):
     assert vector_search.top_products(table.limit(0)).count() == 0
 
 
+def test_top_products_of_repeated_ids(spark):
+    """An id with several good vectors takes one of the five places."""
+    rows = [(50, [1.0, 0.0]), *((1, [2.0 + x / 8, 0.0]) for x in range(7)), *((i, [i / 16, 0.0]) for i in range(2, 10))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.top_products(table).where("query_id = 50").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 256 * 704), *((i, 256 * 16 * i) for i in (9, 8, 7, 6))]
+
+
 def test_tree_bounds():
     vectors = np.random.Generator(np.random.PCG64(5)).integers(-200, 200, (1000, 6))
     order, boxes = vector_search.build(vectors)

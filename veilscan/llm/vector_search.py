@@ -41,8 +41,8 @@ def top_products(
     A component x counts as floor(scale * x). Vectors that are null or hold a
     null or non-finite component, and rows with a null id, take no part; only
     vectors of equal length meet. Rows equal in id and vector count once; rows
-    that share an id but not the vector are candidates of their own, and as
-    queries they are answered as one, by the best of their products. An empty
+    that share an id but not the vector are one candidate and one query, by the
+    best of their products. An empty
     vector has product 0 with others. Other columns are ignored.
     """
     prepare(vectors.sparkSession)
@@ -165,7 +165,8 @@ def _searched(k: int):
 
 
 def search(ids, queries, best, own, vectors, boxes, k: int) -> None:
-    """Improve each query's ``best``, a heap of (score, -id), worst first."""
+    """Improve each query's ``best``, a heap of (score, -id) with distinct ids,
+    worst first."""
     kind = _exact(queries, vectors)
     queries, vectors, boxes = queries.astype(kind), vectors.astype(kind), boxes.astype(kind)
     above, below = np.maximum(queries, 0), np.minimum(queries, 0)
@@ -191,7 +192,12 @@ def search(ids, queries, best, own, vectors, boxes, k: int) -> None:
                 entry = (int(scores[i]), -int(own[a + i]))
                 if -entry[1] == ids[q]:
                     continue
-                if len(top) < k:
+                same = next((n for n, x in enumerate(top) if x[1] == entry[1]), None)
+                if same is not None:  # an id takes one place, with its best product
+                    if entry > top[same]:
+                        top[same] = entry
+                        heapq.heapify(top)
+                elif len(top) < k:
                     heapq.heappush(top, entry)
                 elif entry > top[0]:
                     heapq.heapreplace(top, entry)
