@@ -104,4 +104,38 @@ ORACLE = {
                 OR 100 * n_dup_lines > 50 * n_lines OR 2 * n_letters < word_chars) kept
         FROM b
     """,
+    "op11_collocations": rf"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') lang,
+                regexp_extract_all(unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') ws
+            FROM documents
+        ),
+        g AS (
+            SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase, count(*) f
+            FROM p, unnest(range(1, len(ws) + 1)) t(i), unnest([1, 2, 3, 4]) u(k)
+            WHERE i + k - 1 <= len(ws) GROUP BY ALL
+        ),
+        n AS (SELECT lang, sum(f)::BIGINT n FROM g WHERE k = 1 GROUP BY lang),
+        h AS (SELECT *, string_split(phrase, ' ') ws FROM g WHERE f >= 30),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.f a, j, x.f l, y.f r,
+                (2000000::HUGEINT * c.f // (x.f::HUGEINT + y.f))::BIGINT score
+            FROM h c, unnest(range(1, c.k)) t(j)
+            JOIN h x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:j], ' ')
+            JOIN h y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1:], ' ')
+        ),
+        best AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ),
+        longer AS (
+            SELECT lang, array_to_string(ws[i:i + s - 1], ' ') phrase, max(f) f
+            FROM h, unnest(range(2, k)) t(s), unnest(range(1, 4)) u(i) WHERE i + s - 1 <= k GROUP BY ALL
+        ),
+        o AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+            FROM best b LEFT JOIN longer w ON w.lang = b.lang AND w.phrase = b.phrase
+            WHERE w.f IS NULL OR 100 * w.f < 80 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }

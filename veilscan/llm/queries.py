@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilscan.llm import chat_format, html_text, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, vector_search
+from veilscan.llm import chat_format, collocations, html_text, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, vector_search
 from veilscan.llm.common import SEPARATORS, table
 from veilscan.llm.ngram_join import link_documents
 from veilscan.llm.oracle import ORACLE
@@ -75,6 +75,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,5 +96,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "pipeline": pipeline,
 }
