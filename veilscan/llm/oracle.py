@@ -4,6 +4,40 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _TEXT = "coalesce(text, '')"
 _LOWERED = f"translate({_TEXT}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _repair_step() -> tuple[str, str, str]:
+    """SQL of the states before the first row, of a fold over rows x of (initial,
+    forced, unfinished), and of the end. A state is {cost, audit}; st[1..4] are:
+    nothing yet, after a system, a user, an assistant row."""
+
+    def to(source: str, cost: str, letter: str) -> str:
+        return f"{{'cost': {source}.cost + {cost}, 'audit': {source}.audit || '{letter}'}}"
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    def inserted(st: str) -> str:
+        user = least(f"{st}[3]", *(to(f"{st}[{i}]", "2", "I") for i in (1, 2, 4)))
+        assistant = least(f"{st}[4]", to(f"{st}[3]", "2", "I"), *(to(f"{st}[{i}]", "4", "II") for i in (1, 2)))
+        return f"[{st}[1], {st}[2], {user}, {assistant}]"
+
+    late = "CASE WHEN x.unfinished THEN 1 ELSE 0 END"
+    kept = f"(CASE WHEN x.forced OR x.initial <> '{{}}' THEN 1000000000 ELSE {late} END)".format
+    changed = f"(CASE WHEN x.forced THEN 1000000000 ELSE 2 + {late} END)"
+    new = [
+        to("s[1]", "3", "D"),
+        least(to("s[2]", "3", "D"), to("s[1]", kept("s"), "K")),
+        least(to("s[3]", "3", "D"), *(to(f"s[{i}]", c, e) for i in (1, 2, 4) for c, e in ((kept("u"), "K"), (changed, "R")))),
+        least(to("s[4]", "3", "D"), to("s[3]", kept("a"), "K"), to("s[3]", changed, "R")),
+    ]
+    step = f"list_transform([{inserted('st')}], lambda s: [{', '.join(new)}])[1]"
+    first = "[{'cost': 0::BIGINT, 'audit': ''}" + ", {'cost': 1000000000::BIGINT, 'audit': ''}" * 3 + "]"
+    return first, step, f"list_transform([{inserted('st')}], lambda s: {least('s[1]', 's[4]')})[1]"
+
+
+_FIRST, _STEP, _END = _repair_step()
+
 ORACLE = {
     "op1_ngram_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWERED)} ws FROM documents),
@@ -138,4 +172,69 @@ ORACLE = {
         )
         SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
     """,
+    "op12_turn_repair": rf"""
+        WITH k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') key
+            FROM conversations
+        ),
+        d AS (
+            SELECT *, xor(list_reduce(
+                list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT),
+                lambda c, b: list_reduce(range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+                4294967295::BIGINT
+            ), 4294967295) % 20 kind
+            FROM k
+        ),
+        r AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM d, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) t(i) WHERE kind <> 0
+        ),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) i,
+                left(role, 1) initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') blank,
+                NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') unfinished
+            FROM r
+        ),
+        f AS (
+            SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 duplicate,
+                initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) pair
+            FROM o
+        ),
+        c AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps,
+                count(*) FILTER (blank) blank, count(*) FILTER (duplicate) duplicate,
+                count(*) FILTER (unfinished AND NOT blank AND NOT duplicate) truncated,
+                count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal,
+                list({{'initial': initial, 'forced': blank OR duplicate, 'unfinished': unfinished}} ORDER BY i) xs
+            FROM f GROUP BY conv_id
+        ),
+        b AS (
+            SELECT * EXCLUDE (xs, st), {_END} best
+            FROM (SELECT *, list_reduce(xs, lambda st, x: {_STEP}, {_FIRST}) st FROM c)
+        ),
+        e AS (
+            SELECT conv_id, j, best.audit[j] edit,
+                length(regexp_replace(best.audit[1:j], 'I', '', 'g')) i, length(regexp_replace(best.audit[1:j], 'D', '', 'g')) place
+            FROM b, unnest(range(1, length(best.audit) + 1)) t(j)
+        ),
+        lines AS (
+            SELECT e.conv_id, j, place, edit, f.role, CASE WHEN edit = 'I' THEN '' ELSE f.text END AS text,
+                first_value(CASE WHEN edit = 'K' AND initial = 's' THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY e.conv_id ORDER BY j) system_first
+            FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND edit <> 'I'
+            WHERE edit <> 'D'
+        ),
+        h AS (
+            SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system_first) % 2 = 1 THEN 'user'
+                ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) whole
+            FROM lines GROUP BY conv_id
+        ),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate,
+            coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+            coalesce(best.audit, '') audit, sha256(coalesce(whole, '')) repaired_sha256
+        FROM ids LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM ids.conv_id
+    """,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from veilscan.llm import chat_format, collocations, html_text, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, vector_search
+from veilscan.llm import chat_format, collocations, fingerprints, html_text, mixing, packing, quality_rules, substring_dedup, token_counts, toxicity, turn_repair, vector_search
 from veilscan.llm.common import SEPARATORS, table
 from veilscan.llm.ngram_join import link_documents
 from veilscan.llm.oracle import ORACLE
@@ -79,6 +79,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repairs(turn_repair.damaged(conversations), conversations)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_edits(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,5 +106,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_collocations": op11_collocations,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_fingerprints": op13_fingerprints,
     "pipeline": pipeline,
 }
