@@ -35,7 +35,7 @@ DEPTH = 4
 #: Words that a task sorts at once.
 BLOCK_WORDS = 1 << 19
 #: Buckets for each shuffle partition, and sampled suffixes for each bucket.
-BUCKETS, SAMPLES = 4, 100
+BUCKETS, SAMPLES = 2, 100
 
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
@@ -44,7 +44,7 @@ _ENDS_PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BETWEEN = _ENDS_PIECE.copy()
 _BETWEEN[[9, 32]] = True
 
-RUNS = "bucket int, lang string, words binary, shape binary, counts binary"
+RUNS = "bucket int, langs array<string>, lang_of binary, words binary, shape binary, counts binary"
 COUNTS = "lang string, k int, phrase string, f long"
 
 
@@ -115,14 +115,16 @@ def ranked(counts: DataFrame, top: int = 2000, absorbed: int = 80) -> DataFrame:
 
 
 class Suffixes:
-    """Words of the texts of one language, lowered, with the number of words
+    """Words of texts, lowered, with their languages and the number of words
     that the suffix from each of them has."""
 
-    def __init__(self, texts: pa.Array, lang: str):
+    def __init__(self, texts: pa.Array, langs: list[str], lang_of: np.ndarray):
         buffer, offsets = text_buffer(texts)
         self.bytes = _LOWERED[buffer]
         self.starts, self.ends = _spans(self.bytes, offsets, _BETWEEN)
-        self.hashes = mix64(_word_hashes(self.bytes, self.starts, self.ends, _CODES) ^ _of_lang(lang))
+        self.langs = langs
+        self.lang_of = np.repeat(lang_of, np.diff(np.searchsorted(self.starts, offsets)))
+        self.hashes = _in_lang(_word_hashes(self.bytes, self.starts, self.ends, _CODES), langs, self.lang_of)
         count = len(self.starts)
         self.left = np.zeros(count, np.int64)
         if count:
@@ -159,23 +161,23 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first >> U(32) << U(32)) | (second >> U(32))
 
 
-def _of_lang(lang: str) -> np.uint64:
-    return U(int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+def _in_lang(words: np.ndarray, langs: list[str], lang_of: np.ndarray) -> np.ndarray:
+    """Hashes of words of which each language has its own."""
+    digests = (hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest() for lang in langs)
+    return mix64(words ^ np.array([int.from_bytes(d, "little") for d in digests], np.uint64)[lang_of])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Suffixes]]:
-    """The texts of a batch language by language, in blocks of bounded size (a
-    longer text is a block of its own)."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
+    """The texts of a batch in blocks of bounded size (a longer text is a block
+    of its own)."""
     for batch in batches:
-        langs, texts = batch.column(0), batch.column(1)
-        codes = langs.dictionary_encode()
-        index = codes.indices.to_numpy(zero_copy_only=False)
-        for code, lang in enumerate(codes.dictionary.to_pylist()):
-            mine = np.flatnonzero(index == code)
-            sizes = np.cumsum(pa.compute.binary_length(texts.take(pa.array(mine))).to_numpy(zero_copy_only=False))
-            for cut in np.split(mine, np.flatnonzero(np.diff(sizes // (4 * BLOCK_WORDS))) + 1):
-                if len(cut):
-                    yield lang, Suffixes(texts.take(pa.array(cut)), lang)
+        langs = batch.column(0).dictionary_encode()
+        lang_of = langs.indices.to_numpy(zero_copy_only=False)
+        sizes = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(sizes // (4 * BLOCK_WORDS))) + 1):
+            if len(rows):
+                texts = batch.column(1).slice(rows[0], len(rows))
+                yield Suffixes(texts, langs.dictionary.to_pylist(), lang_of[rows])
 
 
 # --------------------------------------------------------------------- bounds
@@ -203,7 +205,7 @@ def _sampled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(TaskContext.get().partitionId())
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for _, block in _blocks(batches):
+        for block in _blocks(batches):
             count = len(block.starts)
             if count:
                 at = random.integers(0, count, 64)
@@ -239,12 +241,12 @@ def _starts_in(a: np.ndarray, b: np.ndarray, bounds: tuple[np.ndarray, np.ndarra
 
 
 def _sorted_runs(bounds: tuple[np.ndarray, np.ndarray]):
-    """Sorted distinct suffixes of a block, a row per bucket and language. A
-    suffix repeats no word that it shares with the one before: ``shape`` holds
-    eight times the shared words plus all words of each, ``words`` the rest."""
+    """Sorted distinct suffixes of a block, a row per bucket. A suffix repeats no
+    word that it shares with the one before: ``shape`` holds eight times the
+    shared words plus all words of each, ``words`` the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, block in _blocks(batches):
+        for block in _blocks(batches):
             if not len(block.starts):
                 continue
             at = np.arange(len(block.starts))
@@ -271,12 +273,14 @@ def _sorted_runs(bounds: tuple[np.ndarray, np.ndarray]):
             text, places = block.text(np.arange(begins[-1]) + np.repeat(at + same - begins[:-1], fewer))
             places = places[begins]
             shape, counts = (8 * same + left).astype(np.uint8), counts.astype("<u4")
+            lang_of = block.lang_of[at].astype("<u2")
             used = np.flatnonzero(np.diff(opens))
             spans = [(opens[i], opens[i + 1]) for i in used]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(used.astype(np.int32)),
-                    pa.array([lang] * len(used), pa.string()),
+                    pa.array([block.langs] * len(used), pa.list_(pa.string())),
+                    pa.array([lang_of[i:j].tobytes() for i, j in spans], pa.binary()),
                     pa.array([text[places[i] : places[j]].tobytes() for i, j in spans], pa.binary()),
                     pa.array([shape[i:j].tobytes() for i, j in spans], pa.binary()),
                     pa.array([counts[i:j].tobytes() for i, j in spans], pa.binary()),
@@ -312,14 +316,14 @@ class Bucket:
     end), the number of occurrences, and where the words' texts are."""
 
     def __init__(self, runs: list[dict]):
-        keys, places, self.weights, self.langs = [], [], [], []
-        self.texts, at = [], 0
+        keys, places, self.weights, self.langs, self.texts = [], [], [], [], []
         for run in runs:
             column = pa.array([run["words"]], pa.binary())
             buffer, offsets = text_buffer(column)
             space = np.flatnonzero(buffer == 32)
             starts = np.append(0, space + 1)[:-1]
-            hashes = mix64(_word_hashes(buffer, starts, space, _CODES) ^ _of_lang(run["lang"]))
+            hashes = _word_hashes(buffer, starts, space, _CODES)
+            lang_of = np.frombuffer(run["lang_of"], "<u2")
             shape = np.frombuffer(run["shape"], np.uint8).astype(np.int64)
             same, left = shape >> 3, shape & 7
             begins = np.cumsum(left - same) - (left - same)
@@ -330,10 +334,13 @@ class Bucket:
                 own = np.maximum.accumulate(np.where(same <= depth, rows, 0))
                 held = left > depth
                 words[depth, held] = (begins[own] + depth - same[own])[held]
-            keys.append(np.where(words >= 0, hashes[np.maximum(words, 0)], U(0)) if len(hashes) else np.zeros(words.shape, np.uint64))
+            held = words >= 0
+            named = np.zeros(words.shape, np.uint64)
+            named[held] = _in_lang(hashes[words[held]], run["langs"], np.broadcast_to(lang_of, words.shape)[held])
+            keys.append(named)
             places.append(words)
             self.weights.append(np.frombuffer(run["counts"], "<u4").astype(np.int64))
-            self.langs.append(run["lang"])
+            self.langs.append((run["langs"], lang_of))
             self.texts.append((run["words"], starts, space))
         self.sizes = np.array([len(w) for w in self.weights])
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -341,8 +348,11 @@ class Bucket:
         self.weights = np.concatenate(self.weights)
 
     def totals(self) -> list[tuple[str, int, str, int]]:
-        sums = np.add.reduceat(self.weights, self.starts)
-        return [(lang, 0, "", int(n)) for lang, n in zip(self.langs, sums, strict=True)]
+        out = []
+        for (langs, lang_of), start, size in zip(self.langs, self.starts, self.sizes, strict=True):
+            sums = np.bincount(lang_of, self.weights[start : start + size], len(langs)).astype(np.int64)
+            out += [(lang, 0, "", n) for lang, n in zip(langs, sums.tolist(), strict=True) if n]
+        return out
 
     def phrases(self, heads: np.ndarray, depths: np.ndarray, weights: np.ndarray) -> list[tuple[str, int, str, int]]:
         """Language, length, text and count of the phrases that the suffixes
@@ -350,9 +360,9 @@ class Bucket:
         out = []
         runs = np.searchsorted(self.starts, heads, "right") - 1
         for head, run, depth, weight in zip(heads.tolist(), runs.tolist(), depths.tolist(), weights.tolist(), strict=True):
-            text, starts, ends = self.texts[run]
+            (langs, lang_of), (text, starts, ends) = self.langs[run], self.texts[run]
             words = (text[starts[w] : ends[w]] for w in self.places[:depth, head])
-            out.append((self.langs[run], depth, b" ".join(words).decode("utf-8"), weight))
+            out.append((langs[lang_of[head - self.starts[run]]], depth, b" ".join(words).decode("utf-8"), weight))
         return out
 
     def at_bounds(self, bounds: tuple[np.ndarray, np.ndarray], bucket: int) -> np.ndarray:
