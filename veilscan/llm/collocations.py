@@ -19,7 +19,7 @@ Words are compared by 64-bit hashes (see ``hashing``).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ DEPTH = 4
 #: Words that a task sorts at once.
 BLOCK_WORDS = 1 << 19
 #: Buckets for each shuffle partition, and sampled suffixes for each bucket.
-BUCKETS, SAMPLES = 2, 100
+BUCKETS, SAMPLES = 4, 100
 
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
@@ -297,7 +297,7 @@ def _sorted_runs(bounds: tuple[np.ndarray, np.ndarray]):
 def _counted(bounds: tuple[np.ndarray, np.ndarray], least: int):
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        found = Bucket(group.to_pylist())
+        found = Bucket(row for batch in group.to_batches() for row in batch.to_pylist())
         border = found.at_bounds(bounds, bucket)
         rows = found.totals()
         rows += found.phrases(*_border_counts(found, border))
@@ -315,7 +315,7 @@ class Bucket:
     """All suffixes of a bucket: the hash of the word at each depth (0 past the
     end), the number of occurrences, and where the words' texts are."""
 
-    def __init__(self, runs: list[dict]):
+    def __init__(self, runs: Iterable[dict]):
         keys, places, self.weights, self.langs, self.texts = [], [], [], [], []
         for run in runs:
             column = pa.array([run["words"]], pa.binary())
@@ -324,11 +324,11 @@ class Bucket:
             starts = np.append(0, space + 1)[:-1]
             hashes = _word_hashes(buffer, starts, space, _CODES)
             lang_of = np.frombuffer(run["lang_of"], "<u2")
-            shape = np.frombuffer(run["shape"], np.uint8).astype(np.int64)
+            shape = np.frombuffer(run["shape"], np.uint8).astype(np.int32)
             same, left = shape >> 3, shape & 7
             begins = np.cumsum(left - same) - (left - same)
             rows = np.arange(len(shape))
-            words = np.full((DEPTH, len(shape)), -1, np.int64)
+            words = np.full((DEPTH, len(shape)), -1, np.int32)
             for depth in range(DEPTH):
                 # the word is that of the last suffix that did not share it
                 own = np.maximum.accumulate(np.where(same <= depth, rows, 0))
@@ -401,7 +401,7 @@ def multikey_quicksort(keys: np.ndarray, weights: np.ndarray, least: int) -> tup
     own pivot."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     depths = np.zeros(1, np.int64)
-    pointers, lengths = np.arange(keys.shape[1]), np.array([keys.shape[1]])
+    pointers, lengths = np.arange(keys.shape[1], dtype=np.int32), np.array([keys.shape[1]])
     if keys.shape[1] == 0 or weights.sum() < least:
         pointers, lengths, depths = pointers[:0], lengths[:0], depths[:0]
     while len(lengths):
