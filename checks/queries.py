@@ -382,6 +382,37 @@ def document_groups(spark, sf):
     return groups.withColumn("categories", F.array_join(listed, ";"))
 
 
+_PAGE = 250
+
+# all customers of a market segment as one document: each holds a fifth of all findings
+@query(
+    "document_pages",
+    CUST + f""" , placed as (
+        select c_mktsegment as path, found.*,
+            row_number() over (partition by c_mktsegment order by line, category, s, "match", confidence, context, id, e) - 1 as spot
+        from found join customer on cast(c_custkey as varchar) = id),
+    per as (select path, category, count(*) as n from placed group by all),
+    totals as (select path, cast(sum(n) as bigint) as total, string_agg(category || '=' || n, ';' order by n desc, category) as categories
+        from per group by path)
+    select path, cast(spot // {_PAGE} + 1 as int) as page, total, categories, count(*) as held,
+        string_agg(id || '|' || line || '|' || category || '|' || s || '|' || "match" || '|' || context, chr(10) order by spot) as findings
+    from placed join totals using (path) group by all""",
+)
+def document_pages(spark, sf):
+    named = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.expr(R.customer_record()).alias("text"))
+    found = scan_table(named, "c_custkey", "text", path_col="c_mktsegment")
+    pages = rollup.document_pages(found.drop("file_name", "category_id", "page", "ocr"), size=_PAGE)
+    shown = F.transform(
+        "findings",
+        lambda f: F.concat_ws("|", f["doc_id"], f["line"].cast("string"), f["category"], f["start"].cast("string"), f["match"], f["context"]),
+    )
+    listed = F.transform("categories", lambda c: F.concat(c["category"], F.lit("="), c["count"].cast("string")))
+    return pages.select(
+        "path", "page", "total", F.array_join(listed, ";").alias("categories"),
+        F.size("findings").cast("long").alias("held"), F.array_join(shown, "\n").alias("findings"),
+    )
+
+
 @query("files_with_findings", DOC + " select count(distinct id) as files_with_findings from found")
 def files_with_findings(spark, sf):
     return rollup.files_with_findings(doc_findings(spark, sf))
@@ -932,6 +963,32 @@ def sql_functions(spark, sf):
     )
 
 
+@query("pii_scan", DOC + " " + SHOWN_SQL)
+def pii_scan(spark, sf):
+    sql.register_scan_functions(spark)
+    return spark.sql(
+        """SELECT CAST(d.doc_id AS STRING) doc_id, f.category, f.confidence, f.line, f.match, f.start start_at, f.end end_at
+        FROM {docs} d, LATERAL pii_scan(d.text) f""",
+        docs=documents(spark, sf),
+    )
+
+
+@query(
+    "pii_findings",
+    CUST + """ , ids as (select cast(c_custkey as varchar) as id from customer)
+    select id as doc_id, count(category) as findings, coalesce(max(context) filter (s = (select min(s) from found x where x.id = ids.id)), '') as first_context
+    from ids left join found using (id) group by id""",
+)
+def pii_findings(spark, sf):
+    sql.register_scan_functions(spark, prefix="customer_pii")
+    return spark.sql(
+        """SELECT CAST(c_custkey AS STRING) doc_id, CAST(coalesce(size(f), 0) AS BIGINT) findings,
+            coalesce(array_max(filter(f, x -> x.start = f[0].start).context), '') first_context
+        FROM (SELECT c_custkey, customer_pii_findings(text) f FROM {records})""",
+        records=customers(spark, sf),
+    )
+
+
 @query(
     "register_detector",
     r"""select doc_id, count(*)::bigint as hits from (select doc_id,

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tests import slow
 from veilscan.functions import scalars as S
-from veilscan.functions.sql import register_functions, register_scan_view
+from veilscan.functions.sql import register_functions, register_scan_functions, register_scan_view
+from veilscan.operators.detectors import Detector, register_detector
 from veilscan.operators.masking import mask_array, mask_findings
 from veilscan.operators.scan import scan_table
 
@@ -95,6 +96,38 @@ def test_sql_functions(spark):
     assert spark.sql(f"SELECT category, line FROM {view}").first()[:] == ("SSN", 1)
 
 
+def test_sql_table_function(spark):
+    from tests.test_detect import random_texts
+
+    own = register_detector(Detector("Quote's \\\\ code", r"\b[0-9]'\([0-9]\\\b"))
+    assert register_scan_functions(spark, registry=own, exclude_emails=["x.org"], prefix="own") == ["own_findings", "own_scan"]
+    register_scan_functions(spark, min_confidence="high", categories=["ssn"])
+    register_scan_functions(spark, min_confidence="high", categories=["ssn"])  # again
+    texts = [*random_texts(5, 200), None, "", "7'(7\\a and j@x.org, j@y.org", "ssn 219-09-9999; 'and(x' -> 411 111\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    columns = ["id", "category", "confidence", "line", "page", "match", "context", "start", "end"]
+
+    def wanted(**options):
+        rows = scan_table(docs, "id", "text", **options).withColumn("id", F.col("doc_id").cast("int"))
+        return sorted(map(tuple, rows.select(columns).collect()), key=repr)
+
+    queries = {
+        "SELECT d.id, f.* FROM {docs} d, LATERAL own_scan(d.text) f": {"registry": own, "exclude_emails": ["x.org"]},
+        "SELECT id, inline(f) FROM (SELECT id, own_findings(text) f FROM {docs})": {"registry": own, "exclude_emails": ["x.org"]},
+        "SELECT d.id, f.* FROM {docs} d, LATERAL pii_scan(d.text) f": {"min_confidence": "high", "categories": ["SSN"]},
+    }
+    for query, options in queries.items():
+        found = spark.sql(query, docs=docs)
+        assert found.columns == columns
+        assert sorted(map(tuple, found.collect()), key=repr) == wanted(**options)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Join", "Exchange"))
+    outer = "SELECT id, match FROM (SELECT id, inline_outer(f) FROM (SELECT id, pii_findings(text) f FROM {docs} WHERE id >= 200))"
+    left = spark.sql(outer, docs=docs)
+    assert sorted(map(tuple, left.collect()), key=repr) == [(200, None), (201, None), (202, None), (203, "219-09-9999")]
+    assert [r["category"] for r in spark.sql("SELECT category FROM own_scan('8\\'(8\\\\b')").collect()] == ["Quote's \\\\ code"]
+
+
 @pytest.mark.parametrize("digits", ["4111111111111111", "2221000000000009", "6011000000000004", "30569309025904",
                                     "3530111333300000", "1111111111111", "9111111111111111", "2220999999999999"])
 def test_cards(spark, digits):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.functions.storage import materialize
 
@@ -38,6 +39,44 @@ def document_groups(findings: DataFrame, key: Sequence[str] = ("path",)) -> Data
     )
 
 
+def document_pages(findings: DataFrame, key: Sequence[str] = ("path",), size: int = 1000) -> DataFrame:
+    """Documents with their findings inside: the key, ``page`` (from 1),
+    ``total`` findings and ``categories`` of the document, and ``findings``, an
+    array of at most ``size`` structs of the other columns.
+
+    Findings stand in the order of reports: by line and category, then by
+    position and whatever else tells them apart.  A document with many findings
+    has many pages, and no task holds more of it than a partition or a page: its
+    rows lie in several partitions of a range partitioning, and their positions
+    are the place in the partition plus what earlier partitions hold.
+    """
+    key = list(key)
+    first = [c for c in ("line", "category", "start", "match") if c in findings.columns]
+    simple = [f.name for f in findings.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    order = [*first, *sorted(c for c in simple if c not in first and c not in key)]
+    spark = findings.sparkSession
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = materialize(findings.repartitionByRange(parallel, *key, *order).sortWithinPartitions(*key, *order))
+    inside = [c for c in ordered.columns if c not in key]
+    placed = ordered.select(
+        *key, F.struct(*inside).alias("_finding"),
+        F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_pos"),
+    )
+    # a row for each document of a partition; a document has no more of them than there are partitions
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = placed.groupBy(*key, "_part").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n")).select(
+        *key, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
+    )
+    same = F.expr(" and ".join(f"p.`{c}` <=> b.`{c}`" for c in [*key, "_part"]))
+    numbered = placed.alias("p").join(begun.alias("b"), same).select("p.*", (F.col("_pos") + F.col("_shift")).alias("_at"))
+    pages = numbered.groupBy(*key, (F.floor(F.col("_at") / size) + 1).cast("int").alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_finding"))), lambda x: x["_finding"]).alias("findings")
+    )
+    totals = document_groups(ordered, key).withColumnRenamed("findings", "total")
+    whole = F.expr(" and ".join(f"p.`{c}` <=> t.`{c}`" for c in key))
+    return pages.alias("p").join(totals.alias("t"), whole).select(*[f"p.{c}" for c in key], "page", "total", "categories", "p.findings")
+
+
 def findings_by_source(findings: DataFrame) -> DataFrame:
     """Document groups across machines: the same path exists on many hosts."""
     return document_groups(findings, ("host", "path"))

@@ -172,7 +172,11 @@ def _card_spans(view: Column) -> Column:
     # a last group that goes on as a word is not part of the run
     whole = F.transform(
         find_spans(view, _DIGIT_RUN),
-        lambda run: run.withField("v", F.regexp_replace(run["v"], r"(?:^|[ -])[0-9]++[A-Za-z_]\z", "")),
+        lambda run: F.struct(
+            run["start"].alias("start"),
+            run["end"].alias("end"),
+            F.regexp_replace(run["v"], r"(?:^|[ -])[0-9]++[A-Za-z_]\z", "").alias("v"),
+        ),
     )
     runs = F.filter(whole, lambda run: F.length(F.translate(run["v"], " -", "")) >= 13)
     return F.flatten(F.transform(runs, narrow_cards))
