@@ -28,6 +28,7 @@ from veilscan.operators.scan import scan_table
 from veilscan.sources.credentials import secrets_array
 from veilscan.sources.eventlog import from_lines
 from veilscan.sources.files import local_path
+from veilscan.sources.tail import read_appended
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -128,9 +129,13 @@ def finish(
     tail.select(event_json(tail, fmt).alias("value")).write.text(f"{path}/finish-{uuid.uuid4().hex}")
 
 
-def tail_events(spark: SparkSession, path: str, fmt: EventFormat = DEFAULT_FORMAT) -> DataFrame:
-    """Follow an event log and raise alerts, event by event."""
-    return assign_alerts(from_lines(spark.readStream.option("recursiveFileLookup", True).text(path), fmt))
+def tail_events(
+    spark: SparkSession, path: str, fmt: EventFormat = DEFAULT_FORMAT, *, max_bytes_per_batch: int | None = None
+) -> DataFrame:
+    """Follow an event log, its new files and the lines appended to those it
+    has, and raise alerts, event by event."""
+    lines = read_appended(spark, path, max_bytes_per_batch=max_bytes_per_batch)
+    return assign_alerts(from_lines(lines, fmt))
 
 
 class Progress(StreamingQueryListener):
