@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 128
@@ -50,3 +50,26 @@ def running_states(items: Column, zero: Column, step: Callable[[Column, Column],
         items,
         lambda values: F.when(F.size(values) > _CHUNK, chunked(values)).otherwise(tail(walk(values, zero))),
     )
+
+
+def slots(counted: DataFrame, size: int) -> Column:
+    """A scalar array of ``size`` longs from rows (slot, n), zero elsewhere. It
+    stays outside of lambda functions, in which Spark allows no subquery."""
+    filled = counted.sparkSession.range(size).withColumnRenamed("id", "slot").join(counted, "slot", "left")
+    entry = F.struct("slot", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["n"])).scalar()
+
+
+def bits_of(hashed: DataFrame, words: int) -> Column:
+    """A scalar bitmap of ``64 * words`` bits as longs, with a bit set for every
+    hash in the table's only column."""
+    bit = F.pmod(F.col(hashed.columns[0]), F.lit(64 * words))
+    marked = hashed.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    return slots(marked.agg(F.bit_or(one).alias("n")), words)
+
+
+def has_bit(bitmap: Column, hashed: Column, words: int) -> Column:
+    """True for every hash whose bit is set; by chance for others."""
+    bit = F.pmod(hashed, F.lit(64 * words))
+    return F.call_function("getbit", F.get(bitmap, F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1

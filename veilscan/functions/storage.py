@@ -3,6 +3,7 @@ loss of executors."""
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,8 +26,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there. The cluster
     deletes it with the last reference when
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as the
-    package's session settings do."""
+    package's session settings do.
+
+    A checkpoint computes its table once to count it and once more to write it:
+    the first time also keeps it on the executors' disks for the second. What an
+    executor takes along when it is lost is computed again."""
     if df.isStreaming:
         return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()

@@ -13,13 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.arrays import let
+from veilscan.functions.arrays import bits_of, has_bit, let, slots
 from veilscan.functions.scalars import REDACTED, mask, mask_from, replace_all
 from veilscan.functions.storage import materialize
 from veilscan.operators.detectors import PLAIN_CATEGORIES
 
 
-PREFIX = 4  # characters by which places in a text are matched with values
+PIECE = 4  # characters by which places in a text are matched with values
+COUNTERS = 1 << 16  # counters of pieces, whatever their number
+WORDS = 1 << 18  # longs of the bitmap of anchors, whatever their number
+
+_ROW = "_row"
 
 
 def is_plain(category: Column) -> Column:
@@ -106,12 +110,37 @@ def mask_findings(findings: DataFrame, key: Sequence[str] = ("path",)) -> DataFr
     """Mask a findings table in which the findings of one document (or of one
     mail store, however large) are spread over many rows.
 
-    Nothing is grouped per document.  Pieces cut from the texts are joined with
-    the values by equality, which finds every value a text holds and no other,
-    and spreads by piece rather than by document.
+    Nothing is grouped per document.  Every value is looked for by one short
+    piece of it, its anchor: the piece that is rarest in the texts.  Only places
+    of a text where an anchor of its document may stand leave the row, and only
+    the text there, of the lengths such values have, is joined with the values
+    by equality.  That finds every value a text holds and no other, and spreads
+    by anchor and value rather than by document.
     """
     key = list(key)
-    findings = materialize(findings)
+    columns = findings.columns
+    findings = materialize(findings.withColumn(_ROW, F.monotonically_increasing_id()))
+    values = _hidden_values(findings, key)
+    shown = [c for c in ("context", "subject") if c in columns]
+    texts = findings.select(
+        _ROW, *key, F.explode(F.array(*[F.struct(F.lit(c).alias("shown"), F.col(c).alias("text")) for c in shown])).alias("_t")
+    ).select(_ROW, *key, "_t.shown", "_t.text").where(F.col("text") != "")
+    hits = _values_in(texts, values, key)
+    entry = F.struct((-F.octet_length("value")).alias("neg_length"), "ord", "value", "masked", "shown")
+    found = hits.groupBy(_ROW).agg(F.array_sort(F.collect_set(entry)).alias("_found"))
+    out = findings.join(found, _ROW, "left")
+    for name in shown:
+        here = F.filter(F.coalesce("_found", F.array()), lambda r: r["shown"] == name)
+        out = out.withColumn(name, _apply_all(F.col(name), here))
+    out = out.withColumn("match", mask_match(F.col("category"), F.col("match")))
+    if "from" in columns:
+        out = out.withColumn("from", mask_from(F.col("from")))
+    return out.select(*[c for c in columns if c != "redact"])
+
+
+def _hidden_values(findings: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The distinct values of every document (``key``) with their masked form;
+    a value that is also a secret counts as a secret."""
     columns = findings.columns
     order = F.struct(*[F.col(c) for c in ("attachment", "line", "start") if c in columns])
     matched = findings.where(~is_plain(F.col("category"))).select(
@@ -124,74 +153,49 @@ def mask_findings(findings: DataFrame, key: Sequence[str] = ("path",)) -> DataFr
             F.struct(F.lit(0).alias("kind"), order.alias("at")).alias("ord"),
         )
         matched = matched.unionByName(hidden)
-    values = (
-        matched.where(F.col("value") != "")
-        .groupBy(*key, "value")
-        .agg(F.min("ord").alias("ord"))
-        .withColumn("masked", F.when(F.col("ord.kind") == 0, F.lit(REDACTED)).otherwise(mask(F.col("value"))))
-    )
-    shown = [c for c in ("context", "subject") if c in columns]
-    texts = None
-    for name in shown:
-        part = findings.select(*key, F.col(name).alias("text")).where(F.col("text") != "")
-        texts = part if texts is None else texts.unionByName(part)
-    texts = texts.distinct()
-    # positions where some value of the document may start (by its first
-    # characters), then only pieces of the lengths such values have
-    start = F.least(F.length("value"), F.lit(PREFIX))
-    prefixes = (
-        values.withColumn("prefix", F.substring(F.col("value"), F.lit(1), start))
-        .groupBy(*key, "prefix")
-        .agg(F.collect_set(F.length("value")).alias("lengths"))
-    )
-    sizes = values.agg(F.collect_set(start)).scalar()  # some of 1..PREFIX
-    text = F.col("text")
-    places = (
-        texts.withColumn("_sizes", sizes)
-        .withColumn(
-            "place",
-            F.explode(
-                F.flatten(
-                    F.transform(
-                        F.filter("_sizes", lambda n: n <= F.length(text)),
-                        lambda n: F.transform(
-                            F.sequence(F.lit(1), F.length(text) - n + 1),
-                            lambda pos: F.struct(pos.alias("pos"), F.substring(text, pos, n).alias("prefix")),
-                        ),
-                    )
-                )
-            ),
+    values = matched.where(F.col("value") != "").groupBy(*key, "value").agg(F.min("ord").alias("ord"))
+    return values.withColumn("masked", F.when(F.col("ord.kind") == 0, F.lit(REDACTED)).otherwise(mask(F.col("value"))))
+
+
+def _at_each_place(rows: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """A row for each piece of a text: its place ``pos`` and the ``piece``."""
+    long_enough = rows.withColumn("_n", F.explode(sizes)).where(f"_n <= length({text})")
+    at = long_enough.withColumn("pos", F.explode(F.expr(f"sequence(1, length({text}) - _n + 1)")))
+    return at.withColumn("piece", F.expr(f"substring({text}, pos, _n)")).drop("_n")
+
+
+def _values_in(texts: DataFrame, values: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``values`` joined with the rows of ``texts`` (of the same ``key``) whose
+    text contains them: a row for each place."""
+    size = F.least(F.length("value"), F.lit(PIECE))
+
+    # the piece of each value that the fewest values have, counted by a hash
+    own = _at_each_place(values, "value", F.array(size))
+    hashed = own.withColumn("_slot", F.pmod(F.xxhash64("piece"), F.lit(COUNTERS)).cast("int"))
+    counts = slots(hashed.groupBy(F.col("_slot").cast("long").alias("slot")).agg(F.count("*").alias("n")), COUNTERS)
+    tried = hashed.withColumn("times", F.get(counts, F.col("_slot")))
+    rarest = F.min(F.struct("times", "pos", "piece")).alias("_anchor")
+    kept = F.first(F.struct("ord", "masked")).alias("_kept")
+    anchored = materialize(
+        tried.groupBy(*key, "value").agg(rarest, kept).select(
+            *key, "value", F.length("value").alias("n"), "_anchor.pos", "_anchor.piece", "_kept.ord", "_kept.masked"
         )
-        .select(*key, "text", "place.pos", "place.prefix")
     )
-    pieces = (
-        places.join(prefixes, [*key, "prefix"])
-        .select(*key, "text", "pos", F.explode("lengths").alias("n"))
-        .select(*key, "text", F.substring(text, F.col("pos"), F.col("n")).alias("value"))
-        .distinct()
+    anchors = anchored.groupBy(*key, "piece").agg(
+        F.collect_set(F.struct((F.col("pos") - 1).alias("before"), "n")).alias("reach")
     )
-    hits = pieces.join(values, [*key, "value"])
-    masked = (
-        hits.groupBy(*key, "text")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct((-F.octet_length("value")).alias("neg_length"), "ord", "value", "masked")
-                )
-            ).alias("repl")
-        )
-        .select(*key, "text", _apply_all(F.col("text"), F.col("repl")).alias("clean"))
+    # which pieces may be an anchor of the document, as bits by a hash
+    bitmap = bits_of(anchored.select(F.xxhash64(*key, "piece").alias("hashed")), WORDS)
+    # some of 1..PIECE
+    sizes = anchored.agg(F.collect_set(size)).scalar()
+    places = _at_each_place(texts, "text", sizes).where(has_bit(bitmap, F.xxhash64(*key, "piece"), WORDS))
+    there = (
+        places.join(anchors, [*key, "piece"])
+        .select(_ROW, *key, "shown", "text", "pos", F.explode("reach").alias("_r"))
+        .where(F.expr("pos > _r.before and pos - _r.before + _r.n <= length(text) + 1"))
+        .select(_ROW, *key, "shown", F.expr("substring(text, pos - _r.before, _r.n)").alias("value"))
     )
-    out = findings
-    for name in shown:
-        fixed = masked.select(*key, F.col("text").alias(name), F.col("clean").alias(f"_{name}"))
-        out = out.join(fixed, [*key, name], "left").withColumn(
-            name, F.coalesce(F.col(f"_{name}"), F.col(name))
-        )
-    out = out.withColumn("match", mask_match(F.col("category"), F.col("match")))
-    if "from" in columns:
-        out = out.withColumn("from", mask_from(F.col("from")))
-    return out.select(*[c for c in columns if c != "redact"])
+    return there.join(anchored.select(*key, "value", "ord", "masked"), [*key, "value"])
 
 
 def _apply_all(text: Column, repl: Column) -> Column:
