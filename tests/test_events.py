@@ -147,10 +147,17 @@ def test_report_and_archive(spark, findings, tmp_path):
     write_report_json(header, findings, str(tmp_path / "run"))
     assert spark.read.json(str(tmp_path / "run/report")).first()["finding_count"] == 1
     assert spark.read.json(str(tmp_path / "run/findings")).count() == 1
-    names = [archive_run(header, findings, str(tmp_path / "archive")) for _ in range(2)]
-    assert spark.read.parquet(str(tmp_path / "archive/findings")).where(F.col("run") == names[0]).count() == 2
-    history = scan_history(read_archive(spark, str(tmp_path / "archive"))).collect()
-    assert [(r["name"], r["findings"], r["params"]["max_size_mb"]) for r in history] == [(names[0], 1, 2048)] * 2
+    archive = str(tmp_path / "archive")
+    # an interrupted call leaves findings without a header: not part of the archive, and replaced
+    findings.union(findings).write.parquet(f"{archive}/findings/run=scan-2026-07-02_090000")
+    names = [archive_run(header, findings, archive) for _ in range(2)]  # a retry changes nothing
+    later = report_header(summary, F.expr("timestamp '2026-07-03 09:00:00'"), params=params_column(settings))
+    names.append(archive_run(later, findings.union(findings), archive))
+    assert names == ["scan-2026-07-02_090000"] * 2 + ["scan-2026-07-03_090000"]
+    held = spark.read.parquet(f"{archive}/findings").groupBy("run").count().collect()
+    assert {r["run"]: r["count"] for r in held} == {names[0]: 1, names[2]: 2}
+    history = scan_history(read_archive(spark, archive)).collect()
+    assert [(r["name"], r["findings"], r["params"]["max_size_mb"]) for r in history] == [(names[2], 1, 2048), (names[0], 1, 2048)]
     lines = {r["label"]: r["value"] for r in describe_params(header.select("params")).collect()}
     assert lines["largest file"] == "2048 MiB" and lines["excluded"] == "*.bak" and lines["categories"] == "-"
 

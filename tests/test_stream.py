@@ -1,4 +1,5 @@
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ def test_files_to_events_to_alerts(spark, tmp_path):
         ("a.txt", "PHONE ***-***-0629  FAX ***-***-8314"), ("a.txt", "PHONE ***-***-0629  FAX ***-***-8314"),
         ("c.txt", "ssn ***-**-9999")]
     coverage = spark.createDataFrame([("a.txt", "scanned"), ("s.pdf", "needs_ocr")], "path string, status string")
-    finish(written, coverage, F.lit("h1"), log, roots=[str(inbox)], duration="1s")
+    ends = {"run": "r1", "roots": [str(inbox)], "duration": "1s"}
+    assert finish(written, coverage, F.lit("h1"), log, **ends)
+    assert not finish(written, coverage, F.lit("h1"), log, **ends)  # a retry
     kinds = {r["event"]: r["count"] for r in read_events(spark, log).groupBy("event").count().collect()}
     assert kinds == {"finding": 3, "needs_ocr": 1, "scan_summary": 1}
 
@@ -39,7 +42,26 @@ def test_files_to_events_to_alerts(spark, tmp_path):
     raised = sorted((r["rule_id"], r["level"]) for r in spark.read.parquet(alerts).collect())
     assert raised == [(100951, 10), (100951, 10), (100953, 12), (100955, 5), (100956, 3)]
     spark.streams.removeListener(listener)
-    assert seen and max(d for d, _ in seen) >= 3
+    assert seen[-1] == (3, 3)
+    assert listener.categories == {"Phone Number": 2, "SSN": 1}
+
+
+def test_interrupted_finish(spark, tmp_path):
+    log = str(tmp_path / "log")
+    found = spark.createDataFrame([("a", "SSN")], "path string, category string")
+    coverage = spark.createDataFrame([(f"{n}.pdf", "needs_ocr") for n in range(3)], "path string, status string")
+    ends = {"run": "r2", "roots": ["/d"], "duration": "1s"}
+    # a call that was stopped between its two steps, and one within the second
+    assert finish(found, coverage, F.lit("h1"), log, **ends)
+    shutil.rmtree(f"{log}/finish-r2")
+    assert finish(found, coverage, F.lit("h1"), log, **ends)
+    shutil.rmtree(f"{log}/finish-r2")
+    os.makedirs(f"{log}/finish-r2/_temporary/0")
+    assert finish(found, coverage, F.lit("h1"), log, **ends)
+    assert not finish(found, coverage, F.lit("h1"), log, **ends)
+    assert finish(found, coverage, F.lit("h1"), log, **ends | {"run": "r3"})
+    kinds = {r["event"]: r["count"] for r in read_events(spark, log).groupBy("event").count().collect()}
+    assert kinds == {"needs_ocr": 6, "scan_summary": 2}
 
 
 def test_batch_equals_stream_expression(spark):

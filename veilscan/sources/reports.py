@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,14 +97,32 @@ def write_report_json(header: DataFrame, findings: DataFrame, folder: str, *, or
     findings.orderBy(*order).write.mode("overwrite").json(f"{folder}/findings")
 
 
+def published(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder that is published as one file of lines is there, whole."""
+    try:
+        return not spark.read.text(folder).isEmpty()
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def archive_run(header: DataFrame, findings: DataFrame, folder: str) -> str:
-    """Add a run to the archive and return its name: its header (one row) goes
-    to ``folder/reports``, its findings to ``folder/findings``."""
+    """Add a run to the archive and return its name, which tells the second in
+    which it was made: its findings go to ``folder/findings/run=...``, then its
+    header (one row, one file) to ``folder/reports/...``, which makes it part of
+    the archive.
+
+    A run that is there already is left as it is.  What an interrupted call left
+    of it is replaced: findings without a header are not part of the archive.
+    """
+    spark = header.sparkSession
     made = F.to_timestamp("generated_at")
     name = F.concat(F.lit("scan-"), F.date_format(made, "yyyy-MM-dd_HHmmss"))
     run = header.select(name).head()[0]
-    header.withColumn("name", F.lit(run)).write.mode("append").json(f"{folder}/reports")
-    findings.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(f"{folder}/findings")
+    if not published(spark, f"{folder}/reports/{run}"):
+        findings.write.mode("overwrite").parquet(f"{folder}/findings/run={run}")
+        header.withColumn("name", F.lit(run)).coalesce(1).write.mode("overwrite").json(f"{folder}/reports/{run}")
     return run
 
 
@@ -112,4 +131,5 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     counted in them and stay where they are."""
     kept = [f for f in REPORT if f.name != "findings"]
     counted = [T.StructField("finding_count", T.LongType()), T.StructField("name", T.StringType())]
-    return spark.read.schema(T.StructType([*kept, *counted])).json(f"{folder}/reports")
+    schema = T.StructType([*kept, *counted])
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{folder}/reports")

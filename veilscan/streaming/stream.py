@@ -4,7 +4,7 @@ documents needs no state: its findings leave with the micro-batch it came in."""
 from __future__ import annotations
 
 import hashlib
-import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +20,13 @@ from veilscan.operators.events import (
     needs_ocr_events,
     summary_event,
     to_events,
-    union_events,
 )
 from veilscan.operators.masking import mask_array
 from veilscan.operators.rollup import run_summary
 from veilscan.operators.scan import scan_table
 from veilscan.sources.credentials import secrets_array
 from veilscan.sources.eventlog import from_lines
+from veilscan.sources.reports import published
 from veilscan.sources.files import local_path
 from veilscan.sources.tail import read_appended
 
@@ -86,13 +86,16 @@ def event_sink(
     masked: bool = True,
     fmt: EventFormat = DEFAULT_FORMAT,
     available_now: bool = False,
+    registry: Registry = DEFAULT,
 ):
     """Append finding events to a log; event time is the time of writing.
 
     Every micro-batch has a folder of its own in the log.  One that is run
     again after a failure replaces its folder, so no event is logged twice.
+    Findings are counted on the way, for :class:`Progress`.
     """
-    events = to_events(findings, F.current_timestamp(), host, masked=masked, fmt=fmt)
+    counted = observed(findings, registry)
+    events = to_events(counted, F.current_timestamp(), host, masked=masked, fmt=fmt)
     source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -113,20 +116,32 @@ def finish(
     host: Column,
     path: str,
     *,
+    run: str,
     roots: Sequence[str],
     duration: str,
     masked: bool = True,
     fmt: EventFormat = DEFAULT_FORMAT,
-) -> None:
+) -> bool:
     """The events that end a run: one per document that was not searched, then
-    exactly one summary.  A run that failed does not get here."""
+    exactly one summary.  A run that failed does not get here.
+
+    ``run`` names the run in the log.  The summary is written last, as one file,
+    and says that the run has ended: a call that finds it changes nothing and
+    returns False; one that does not replaces what an interrupted call left.
+    """
+    if published(findings.sparkSession, f"{path}/finish-{run}"):
+        return False
     now = F.current_timestamp()
-    gaps = coverage.where(F.col("status") == "needs_ocr").select("path")
-    summary = run_summary(findings, coverage, roots=roots, duration=duration, masked=masked)
-    tail = union_events(
-        needs_ocr_events(gaps, now, host, fmt=fmt), summary_event(summary, now, host, fmt=fmt)
-    )
-    tail.select(event_json(tail, fmt).alias("value")).write.text(f"{path}/finish-{uuid.uuid4().hex}")
+    gaps = needs_ocr_events(coverage.where(F.col("status") == "needs_ocr").select("path"), now, host, fmt=fmt)
+    totals = run_summary(findings, coverage, roots=roots, duration=duration, masked=masked)
+    summary = summary_event(totals, now, host, fmt=fmt)
+    _write_lines(gaps, f"{path}/finish-{run}-gaps", fmt)
+    _write_lines(summary.coalesce(1), f"{path}/finish-{run}", fmt)
+    return True
+
+
+def _write_lines(events: DataFrame, folder: str, fmt: EventFormat) -> None:
+    events.select(event_json(events, fmt).alias("value")).write.mode("overwrite").text(folder)
 
 
 def tail_events(
@@ -138,23 +153,37 @@ def tail_events(
     return assign_alerts(from_lines(lines, fmt))
 
 
-class Progress(StreamingQueryListener):
-    """Calls ``report(documents, findings)`` with running totals.
+#: Name under which a stream's findings are counted.
+METRICS = "pii_findings"
 
-    ``findings`` counts the rows a sink reports having written; sinks that do
-    not report it leave it at zero.
-    """
+
+def observed(findings: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """``findings``, counted in total and per category of the registry while
+    they pass; the counts come with every micro-batch's progress."""
+    each = [F.count_if(F.col("category") == name).alias(name) for name in registry.categories()]
+    return findings.observe(METRICS, F.count("*").alias("findings"), *each)
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``report(documents, findings)`` with running totals, of all queries
+    whose findings pass :func:`observed`; ``categories`` holds them by category."""
 
     def __init__(self, report: Callable[[int, int], None]):
         self.report = report
         self.documents = self.findings = 0
+        self.categories: Counter[str] = Counter()
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
+        counted = event.progress.observedMetrics.get(METRICS)
+        if counted is None:
+            return
+        by_category = counted.asDict()
+        self.findings += by_category.pop("findings")
+        self.categories.update({name: n for name, n in by_category.items() if n})
         self.documents += event.progress.numInputRows
-        self.findings += max(event.progress.sink.numOutputRows, 0)
         self.report(self.documents, self.findings)
 
     def onQueryIdle(self, event):
