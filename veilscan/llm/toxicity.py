@@ -11,6 +11,7 @@ is trained here, on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,15 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilscan.functions.arrays import bits_of, has_bit
 from veilscan.llm.common import keep, prepare
 from veilscan.llm.hashing import U, Words
 
 #: Labelled rows that a model is fitted on, at most.
-TRAIN_ROWS = 16_000
+TRAIN_ROWS = 12_000
 #: Their terms, at most; with longer texts fewer rows are drawn.
 TRAIN_TERMS = 40_000_000
 FEATURE_BITS = 18
 FACTORS = 4
+#: Longs of the bitmap of labelled ids, whatever their number: 2 MB.
+ID_WORDS = 1 << 18
 #: Bytes of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
 #: Terms get a weight if they are in so many labelled texts and their share of
@@ -90,8 +94,10 @@ def held_out(id_col: str):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """A model from the labelled rows that are not held out: terms are chosen
-    by their counts over all of them, weights fitted on a sample of about
-    ``rows`` drawn by a hash of the id. Rows with a null id, label or text are
+    by their counts over all of them, weights fitted on a sample of at most
+    ``rows`` drawn by a hash of the id. Texts are shuffled to their labels; a
+    bitmap of the labelled ids keeps the others where they are (all but a few
+    by chance, more beyond some million labels). Rows with a null id, label or text are
     left out; an id with several labels counts once for each. Without labels of
     both kinds the model is the share of label 1 (none: 0)."""
     spark = prepare(docs.sparkSession)
@@ -101,6 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if last is None:
         return train([], np.zeros(0))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    labelled = bits_of(known.select(F.xxhash64(F.col("id").cast("string")).alias("hashed")), ID_WORDS)
+    texts = texts.where(~held_out("id") & has_bit(labelled, F.xxhash64(F.col("id").cast("string")), ID_WORDS))
     texts = texts.join(known, "id").select("draw", "label", "text")
     seen = keep(texts.mapInArrow(_counted(last), "term int, texts long, toxic long, draw long, label int, features binary"))
     counts = seen.where("term is not null").groupBy("term").agg(F.sum("texts"), F.sum("toxic")).toArrow()
@@ -112,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a total order, so that reruns train alike
     drawn = drawn.orderBy("draw", "label", "features")
     count, size = drawn.agg(F.count("*"), F.sum(F.length("features")) / 4).first()
-    most = 2 * rows if not size or size <= TRAIN_TERMS else min(2 * rows, int(count * TRAIN_TERMS / size))
+    most = rows if not size or size <= TRAIN_TERMS else min(rows, int(count * TRAIN_TERMS / size))
     sample = drawn.limit(most).select("label", "features").toArrow()
     found = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["features"]]
     return train(found, sample["label"].to_numpy().astype(float), counts=(everywhere, toxic))
@@ -276,7 +284,7 @@ def telling_pairs(texts: list[np.ndarray], labels: np.ndarray, seen: np.ndarray)
     """Pairs of terms, not both of them ``seen``, that are toxic together more
     than chance and their own shares explain. Equal texts count once. Pairs are
     looked for in as many clean texts as toxic ones, then counted in all."""
-    first = {(x.tobytes(), y): i for i, (x, y) in reversed(list(enumerate(zip(texts, labels != 0, strict=True))))}
+    first = {(hashlib.sha256(x.tobytes()).digest(), y): i for i, (x, y) in reversed(list(enumerate(zip(texts, labels != 0, strict=True))))}
     at = np.array(sorted(first.values()))
     marked = labels[at] != 0
     everywhere, toxic = term_counts([texts[i] for i in at], marked)
@@ -300,8 +308,8 @@ def telling_pairs(texts: list[np.ndarray], labels: np.ndarray, seen: np.ndarray)
     more_bad, more_good = marked.sum() / len(bad), (~marked).sum() / len(good)
     toxics, cleans, weak = table(bad), table(good), ~seen[terms]
     found: list[tuple[np.ndarray, ...]] = []
-    for low in range(0, len(terms), 512):
-        part = slice(low, low + 512)
+    for low in range(0, len(terms), 128):
+        part = slice(low, low + 128)
         both, clean = toxics[:, part].T @ toxics[:, low:], cleans[:, part].T @ cleans[:, low:]
         errors = _pair_errors(both * more_bad, (both * more_bad + clean * more_good), odds[part, None] + odds[None, low:], share)
         fit = (both * more_bad >= MIN_PAIR_TEXTS) & (errors >= MIN_PAIR_ERRORS / 2) & (weak[part, None] | weak[None, low:])
