@@ -24,6 +24,7 @@ from veilscan.operators.masking import mask_array, mask_findings
 from veilscan.operators.scan import scan_table
 from veilscan.plans.mail_scan import scan_messages
 from veilscan.sources import credentials, files, mail, reports
+from veilscan.streaming import watch
 from veilscan.streaming.stream import scan_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -845,6 +846,53 @@ def findings_stream(spark, sf):
     return spark.read.schema(found.schema).parquet(f"{target}/findings")
 
 
+def _streamed(spark, stream: DataFrame) -> DataFrame:
+    """What a stream appends until its input is read."""
+    target = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{target}/rows")
+
+
+def _log_stream(spark, sf) -> DataFrame:
+    source = table(spark, sf, "events").schema
+    return spark.readStream.schema(source).parquet(f"{sf}/events.parquet*").select(
+        F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("host"),
+        F.when(F.col("event_type") == "error", "scan_summary").otherwise("finding").alias("event"),
+        F.col("ts").alias("timestamp"),
+        F.col("event_type").alias("category"),
+    )
+
+
+@query(
+    "finding_rates",
+    """select time_bucket(interval 6 hour, ts) as window_start, time_bucket(interval 6 hour, ts) + interval 6 hour as window_end,
+    event_type as category, count(*) as findings from events where event_type <> 'error'
+    and time_bucket(interval 6 hour, ts) + interval 6 hour <= (select date_trunc('milliseconds', max(ts)) - interval 30 minute from events)
+    group by all""",
+)
+def finding_rates(spark, sf):
+    """The events table as a stream of findings: the windows that have left."""
+    return _streamed(spark, watch.finding_rates(_log_stream(spark, sf), "6 hours", "30 minutes"))
+
+
+@query(
+    "silence_alerts",
+    """select 'host-' || user_id as host, max(ts) as last_scan, max(ts) + interval 1 day as silent_since from events
+    where event_type = 'error' group by user_id
+    having epoch_ms(max(ts)) + 86400000 + 1 <= (select epoch_ms(max(ts)) - 3600000 from events)""",
+)
+def silence_alerts(spark, sf):
+    """The events table as a stream: hosts whose last summary is over a day old at its end."""
+    return _streamed(spark, watch.silence_alerts(_log_stream(spark, sf), days=1))
+
+
 # --- smaller operators of their own -------------------------------------------------
 
 

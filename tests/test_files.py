@@ -2,11 +2,13 @@ import io
 import os
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from veilscan.operators.rollup import coverage_lists, coverage_stats
 from veilscan.plans.file_scan import list_files, scan_files
+from veilscan.sources import files
 from veilscan.sources.credentials import credential_secrets
 from veilscan.functions.storage import ensure_checkpoint_dir
 from veilscan.sources.files import classify_file, extract_text, limit_size, list_tree, looks_like_text, utf16_order, with_content
@@ -37,6 +39,24 @@ def test_excludes(spark, tmp_path):
     assert len(listed(spark, root, excludes=("", " ", "*.bak"))) == 6
 
 
+def test_folders_are_listed_in_chunks(spark, tmp_path, monkeypatch):
+    root = tree(tmp_path, {**{f"big/f{n:04d}.txt": b"x" * n for n in range(250)}, "big/sub/y.txt": b"y"})
+    monkeypatch.setattr(files, "LISTED_TOGETHER", 100)
+    frames = list(files._opened(files._entries)(iter([pd.DataFrame({"path": [f"{root}/big"]})])))
+    assert [len(f) for f in frames] == [100, 100, 51]
+    listing = files.list_tree(spark, [root])
+    assert listing.count() == 251
+
+
+def test_files_are_chosen_before_they_are_opened(spark, tmp_path):
+    root = tree(tmp_path, {"a.txt": b"12345", "b.txt": b"123456", "c.log": b"1", "sub/d.txt": b"1"})
+    found = files.read_files(spark, [root], where="length <= 5 and path like '%.txt'")
+    assert {os.path.basename(r["path"]): bytes(r["content"]) for r in found.collect()} == {"a.txt": b"12345", "d.txt": b"1"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("length#")  # the filter lies below the reading
+    assert files.read_files(spark, [root], F.col("length") > 5).count() == 1
+
+
 def test_skipped_directories(spark, tmp_path):
     root = tree(tmp_path, {"AppData/Local/c.txt": b"x", "notes.txt": b"x", ".git/config": b"x", ".cache/y.txt": b"x",
                            ".hidden/z.txt": b"x", ".env": b"x"})

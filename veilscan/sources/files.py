@@ -12,6 +12,7 @@ import re
 import stat
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -66,6 +67,8 @@ def _outermost(roots: Sequence[str]) -> list[str]:
     return [r for r in clean if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in clean)]
 
 
+#: Entries of a folder in one batch.
+LISTED_TOGETHER = 10_000
 _ENTRIES = "path string, kind string, modificationTime timestamp, length bigint, error string"
 LISTING = "path string, modificationTime timestamp, length bigint, error string"
 
@@ -122,17 +125,22 @@ def _root_entry(path: str) -> tuple:
 
 
 def _opened(list_entries):
+    """What folders hold, a chunk of entries at a time: a task never has all
+    files of a folder in memory."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "kind", "modificationTime", "length", "error"]
         for batch in batches:
             for path in batch["path"]:
-                yield pd.DataFrame(list_entries(path), columns=names)
+                entries = iter(list_entries(path))
+                while chunk := list(islice(entries, LISTED_TOGETHER)):
+                    yield pd.DataFrame(chunk, columns=names)
 
     return run
 
 
-def _entries(path: str) -> list[tuple]:
-    return list(_stored_entries(path) if "://" in path else _local_entries(path))
+def _entries(path: str) -> Iterator[tuple]:
+    return _stored_entries(path) if "://" in path else _local_entries(path)
 
 
 def list_tree(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
@@ -192,9 +200,18 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.mapInArrow(_contents, T.StructType([*files.schema, T.StructField("content", T.BinaryType())]))
 
 
-def read_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """All files below ``roots`` with their contents."""
-    return with_content(list_tree(spark, roots))
+def read_files(spark: SparkSession, roots: Sequence[str], where: Column | str | None = None) -> DataFrame:
+    """All files below ``roots`` with their contents; with ``where``, a
+    condition on path, modificationTime and length, only those that meet it.
+
+    A filter above the result would come too late: it cannot pass the reading,
+    so files that it drops would be opened first. Listings that failed stay.
+    """
+    listed = list_tree(spark, roots)
+    if where is not None:
+        condition = F.expr(where) if isinstance(where, str) else where
+        listed = listed.where(F.col("error").isNotNull() | condition)
+    return with_content(listed)
 
 
 def clean_excludes(patterns: Sequence[str]) -> list[str]:
