@@ -11,7 +11,8 @@ encodings of the single sections do not.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,40 @@ from veilscan.llm.common import prepare
 from veilscan.llm.hashing import text_buffer
 
 SECTIONS = "section long, start long, length long, n_tokens long, n_crossing long"
+#: White space that is encoded apart from this many characters on: the pattern
+#: is matched with a stack that a million of them overflow.
+LONG_SPACE = 100_000
+_SPACES = re.compile(
+    "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE
+)
 
 
-def section_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def section_tokens(
+    docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", fields: Sequence[str] | None = None
+) -> DataFrame:
     """(doc_id, section, start, length, n_tokens, n_crossing): a row for each
     section, which is a line with its line break. start and length are in code
     points; n_crossing counts the tokens of the section that reach into others.
     ``ranks`` and ``pattern`` are the tokenizer's file and word pattern.
 
-    A null or empty text has one empty section. Every row stands for itself,
-    repeated and null ids included. An empty table gives an empty result; other
-    columns are ignored.
+    With ``fields`` a document is the text of these columns, each but the last
+    followed by a line break, and its sections are the fields, in order.
+
+    A null or empty text has one empty section; a null field is empty. Every row
+    stands for itself, repeated and null ids included. An empty table gives an
+    empty result; other columns are ignored. Texts of any length are encoded
+    whole, a batch at a time; a run of white space of LONG_SPACE characters or
+    more is one word of the pattern but for its last character, as patterns
+    that end in ``\\s+(?!\\S)|\\s+`` make it, and is encoded as such.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if fields:
+        columns = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]
+        parts = [F.concat(c, F.lit("\n")) for c in columns[:-1]] + columns[-1:]
+        text, sizes = F.concat(*parts), F.array(*[F.char_length(c).cast("long") for c in parts])
+    else:
+        text, sizes = F.col(text_col), F.lit(None).cast("array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), sizes.alias("sizes"))
     return rows.mapInArrow(_counted(ranks, pattern), f"doc_id long, {SECTIONS}")
 
 
@@ -47,11 +68,16 @@ def _counted(ranks: str, pattern: str):
         for batch in batches:
             parts = [[] for _ in names]
             buffer, offsets = text_buffer(batch.column(1))
-            for doc_id, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            columns = (batch.column(i).to_pylist() for i in range(3))
+            for doc_id, text, sizes, a, b in zip(*columns, offsets[:-1], offsets[1:], strict=True):
                 data = buffer[a:b]
-                breaks = np.flatnonzero(data == 10) + 1
-                bounds = np.concatenate(([0], breaks[breaks < len(data)], [len(data)]))
-                ids = encoding.encode_to_numpy(text or "", disallowed_special=())
+                if sizes is None:
+                    breaks = np.flatnonzero(data == 10) + 1
+                    bounds = np.concatenate(([0], breaks[breaks < len(data)], [len(data)]))
+                else:
+                    places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+                    bounds = places[np.concatenate(([0], np.cumsum(sizes)))]
+                ids = encode(encoding, text or "")
                 tokens, crossing = attribute(np.cumsum(lengths[ids]), bounds)
                 chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[bounds]
                 count = len(bounds) - 1
@@ -62,11 +88,26 @@ def _counted(ranks: str, pattern: str):
     return run
 
 
+def encode(encoding, text: str) -> np.ndarray:
+    """Ids of a whole text. Long white space is cut out where the pattern ends a
+    word: behind the character before it, and before its own last character
+    unless the text ends with it."""
+    out, at = [], 0
+    for space in _SPACES.finditer(text):
+        end = space.end() if space.end() == len(text) else space.end() - 1
+        out.append(encoding.encode_to_numpy(text[at : space.start()], disallowed_special=()))
+        out.append(np.array(encoding._encode_single_piece(text[space.start() : end]), np.uint32))
+        at = end
+    out.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def attribute(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, crossing tokens) of each section; ``ends`` are the ends of the
     tokens, ``bounds`` the n+1 bounds of the sections, both in bytes."""
     count = len(bounds) - 1
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    # of sections that are empty at a bound, none holds a token
     first = np.searchsorted(bounds, starts, side="right") - 1
     last = np.searchsorted(bounds, ends, side="left") - 1
     across = np.flatnonzero(first != last)
