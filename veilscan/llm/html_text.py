@@ -65,6 +65,12 @@ NOISE = frozenset(
     " footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related share"
     " sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing of what a container holds, next to a word of NOISE.
+PLACES = frozenset(
+    "area bar block bottom box buttons container content form global group holder inner items left links list main outer page panel"
+    " post posts primary right row secondary section site top unit wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
@@ -110,6 +116,7 @@ def parse(page: str) -> Element:
             open_tags[tag] += 1
     if at < len(page):
         stack[-1].inner.append(html.unescape(page[at:]))
+    open_forms(root)
     return root
 
 
@@ -156,16 +163,28 @@ def _noise(element: Element, inside: bool) -> bool:
         return True
     if "display:none" in own.get("style", "").replace(" ", "").lower():
         return True
-    names = f"{own.get('class', '')} {own.get('id', '')}".lower()
-    return tag not in ("article", "main") and not NOISE.isdisjoint(_WORDS.findall(names))
+    if tag in ("article", "main") or tag in HEADINGS:
+        return False
+    return any(_is_noise(name) for name in f"{own.get('class', '')} {own.get('id', '')}".lower().split())
+
+
+def _is_noise(name: str) -> bool:
+    """Whether a class or id names what is not main text: a word of NOISE, alone
+    or joined with others of it and with PLACES only. ``has-sidebar`` and
+    ``market-share`` are other names."""
+    words = set(_WORDS.findall(name))
+    return not words.isdisjoint(NOISE) and words <= NOISE | PLACES
 
 
 def main_element(root: Element) -> Element:
     """The article: the <main> or, without one, <article> with most text (of
-    nested ones the outermost); the whole page if it has neither."""
+    nested ones the outermost); the whole page if it has neither. Containers
+    that are noise are looked into only if nothing is found outside of them."""
     best: dict[str, tuple[int, Element]] = {}
-    stack = [root]
-    while stack:
+    stack, aside = [root], []
+    while stack or (aside and not best):
+        if not stack:
+            stack, aside = aside, []
         element = stack.pop()
         kind = "main" if element.attributes.get("role") == "main" else element.tag
         if kind in ("main", "article"):
@@ -173,10 +192,33 @@ def main_element(root: Element) -> Element:
             if size > best.get(kind, (-1, None))[0]:
                 best[kind] = (size, element)
             continue
-        stack += [x for x in element.inner[::-1] if isinstance(x, Element) and not _noise(x, False)]
+        for x in element.inner[::-1]:
+            if isinstance(x, Element):
+                (aside if _noise(x, False) else stack).append(x)
     return best.get("main", best.get("article", (0, root)))[1]
 
 
+def open_forms(root: Element) -> None:
+    """Forms are noise but for those around the page: one that holds the article
+    or most of the text outside links becomes a plain container."""
+    order = [root]
+    for element in order:  # parents before children; the list grows on the way
+        order += [x for x in element.inner if isinstance(x, Element)]
+    if not any(x.tag == "form" for x in order):
+        return
+    held: dict[int, tuple[int, bool]] = {}
+    for element in reversed(order):
+        size = 0 if element.tag in RAW or element.tag == "a" else sum(len(_BLANK.sub(" ", x).strip()) for x in element.inner if isinstance(x, str))
+        inner = [held[id(x)] for x in element.inner if isinstance(x, Element)]
+        if element.tag != "a":
+            size += sum(n for n, _ in inner)
+        held[id(element)] = size, element.tag in ("main", "article") or any(a for _, a in inner)
+    for element in order:
+        size, article = held[id(element)]
+        if element.tag == "form" and (article or 2 * size > held[id(root)][0]):
+            element.tag = "div"
+
+
 def blocks(element: Element, dropped: frozenset[int] | set[int] = frozenset(), inside: bool = True) -> list[str]:
     """Texts of the blocks in page order, white space made single spaces;
     without the elements whose id() is ``dropped``."""
