@@ -26,7 +26,7 @@ from veilscan.llm.common import keep, prepare
 from veilscan.llm.hashing import U, Words
 
 #: Labelled rows that a model is fitted on, at most.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
 #: Their terms, at most; with longer texts fewer rows are drawn.
 TRAIN_TERMS = 40_000_000
 FEATURE_BITS = 18
@@ -123,7 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     most = rows if not size or size <= TRAIN_TERMS else min(rows, int(count * TRAIN_TERMS / size))
     sample = drawn.limit(most).select("label", "features").toArrow()
     found = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["features"]]
-    return train(found, sample["label"].to_numpy().astype(float), counts=(everywhere, toxic))
+    model = train(found, sample["label"].to_numpy().astype(float), counts=(everywhere, toxic))
+    # the driver goes on to other work: what the sample took is given back
+    del sample, found, counts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
