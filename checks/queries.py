@@ -963,13 +963,19 @@ def attach_secrets(spark, sf):
 @query(
     "stream_secrets",
     O.detection("customer", "'c' || c_custkey || '.csv'", R.credential_file())
-    + " select id as path, s as start_at, category, false as leaks from found",
+    + f""" select id as path, s as start_at, category, case when {O.plain()} then "match" else {O.mask('"match"')} end as "match",
+    false as leaks from found""",
 )
 def stream_secrets(spark, sf):
-    """Masked findings of password exports, read as a stream would be."""
-    shown_ = scan_stream(_exports(spark, sf), "path", "text").withColumnRenamed("start", "start_at")
+    """Masked findings of password exports that arrive as a stream."""
+    source = table(spark, sf, "customer").schema
+    arriving = spark.readStream.schema(source).parquet(f"{sf}/customer.parquet*").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".csv")).alias("path"),
+        F.expr(R.credential_file()).alias("text"),
+    )
+    shown_ = _streamed(spark, scan_stream(arriving, "path", "text").withColumnRenamed("start", "start_at"))
     password = F.concat(F.lit("p,w"), F.regexp_extract("path", "[0-9]+", 0), F.lit('"'))
-    return shown_.select("path", "start_at", "category", F.col("context").contains(password).alias("leaks"))
+    return shown_.select("path", "start_at", "category", "match", F.col("context").contains(password).alias("leaks"))
 
 
 @query(
