@@ -57,5 +57,15 @@ def test_document_pages_by_machine(spark):
     assert {(r["host"], r["path"], r["page"]): len(r["findings"]) for r in pages} == {k: len(v[2]) for k, v in wanted.items()}
 
 
+def test_a_callers_cache_stays(spark):
+    from veilscan.functions.storage import materialize
+
+    own = spark.range(10).cache()
+    assert materialize(own).count() == 10 and own.storageLevel.useMemory
+    own.unpersist()
+    other = spark.range(5).selectExpr("id + 1 as x")
+    assert sorted(r["x"] for r in materialize(other).collect()) == [1, 2, 3, 4, 5] and not other.storageLevel.useDisk
+
+
 def test_pages_of_nothing(spark):
     assert document_pages(spark.createDataFrame([], FINDING)).collect() == []

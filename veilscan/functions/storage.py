@@ -34,6 +34,9 @@ def materialize(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     ensure_checkpoint_dir(df.sparkSession)
+    kept = df.storageLevel
+    if kept.useMemory or kept.useDisk:  # by the caller, whose it is to end that
+        return df.checkpoint(eager=True)
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
         return held.checkpoint(eager=True)
