@@ -3,8 +3,12 @@ folder, and running Arrow functions over text."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from veilscan.functions.storage import ensure_checkpoint_dir
@@ -47,3 +51,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parts(df: DataFrame) -> int:
     """Number of shuffle partitions that the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Return memory that this process no longer uses to the system: workers
+    live on between tasks, and the driver between queries."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """An Arrow function that takes over no memory of the task before it and
+    leaves none behind."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import keep, prepare
+from veilscan.llm.common import frugal, keep, prepare
 from veilscan.llm.hashing import U, Words, mix64
 
 #: Words of a seed.
@@ -59,13 +59,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = inner.join(repeated_spans(texts, words), ["id", "text_key"], "left")
     joined = joined.select(*inner.columns[: len(columns)], "spans")
     schema = inner.select(*joined.columns[:-1]).schema.add("n_words", "long").add("n_removed", "long")
-    return joined.mapInArrow(_cut(joined.columns.index(text_at)), schema).toDF(*columns, "n_words", "n_removed")
+    return joined.mapInArrow(frugal(_cut(joined.columns.index(text_at))), schema).toDF(*columns, "n_words", "n_removed")
 
 
 def repeated_spans(texts: DataFrame, words: int) -> DataFrame:
     """(id, text_key, spans): per text the runs of words to cut, as structs of
     first word and end; they may overlap. ``texts`` has id, text_key, text."""
-    anchors = keep(texts.mapInArrow(_anchors(words), ANCHORS))
+    anchors = keep(texts.mapInArrow(frugal(_anchors(words)), ANCHORS))
     classes = anchors.groupBy("anchor", "context").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     shared = (
         classes.groupBy("anchor")
@@ -78,7 +78,7 @@ def repeated_spans(texts: DataFrame, words: int) -> DataFrame:
     whole = met.where("id > first").selectExpr("id", "text_key", f"struct(start, start + windows + {words - 1} as end) span")
 
     ranges = met.where("id = first").groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("ranges"))
-    extended = keep(texts.join(ranges, ["id", "text_key"]).mapInArrow(_windows(words), WINDOWS))
+    extended = keep(texts.join(ranges, ["id", "text_key"]).mapInArrow(frugal(_windows(words)), WINDOWS))
     earliest = extended.groupBy("anchor", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     matched = extended.join(earliest.select("anchor", "window", "low"), ["anchor", "window"]).where("id > low")
     single = matched.selectExpr("id", "text_key", f"struct(start, start + {words} as end) span")

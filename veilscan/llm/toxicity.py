@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.functions.arrays import bits_of, has_bit
-from veilscan.llm.common import keep, prepare
+from veilscan.llm.common import give_back, keep, prepare
 from veilscan.llm.hashing import U, Words
 
 #: Labelled rows that a model is fitted on, at most.
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = train(found, sample["label"].to_numpy().astype(float), counts=(everywhere, toxic))
     # the driver goes on to other work: what the sample took is given back
     del sample, found, counts
-    pa.default_memory_pool().release_unused()
+    give_back()
     return model
 
 
