@@ -2,9 +2,10 @@
 
 Each rule is a Boolean expression over measures of the text. Its cost and its
 rate of rejections are measured on a bounded sample; the cascade then asks the
-rules in the order of rejections per second, and a document that one rule
-rejects is not shown to the next. The order changes the cost only: a document
-is kept when no rule rejects it.
+rules in the order of rejections per second, and the first that rejects is
+named. The measures are part of the result and so are computed for every
+document; what the order saves are comparisons. A document is kept when no rule
+rejects it.
 """
 
 from __future__ import annotations
