@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.queries import QUERIES
 from veilscan.functions import patterns as P
 from veilscan.functions.storage import spread
+from veilscan.operators import rollup
 from veilscan.operators.detectors import DEFAULT_DETECTORS, MEDIUM, Detector
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +33,23 @@ def test_queries_over_customers_use_many_tasks(spark, name):
     assert tasks(QUERIES[name](spark, SF)) > 1
 
 
+def test_document_pages_reads_its_findings_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(600).select(
+        (F.col("id") % 3).cast("string").alias("path"), F.lit("SSN").alias("category"), F.col("id").cast("int").alias("line")
+    )
+    found = rows.mapInPandas(counted, rows.schema)
+    pages = rollup.document_pages(found, size=50).collect()
+    assert sum(len(p["findings"]) for p in pages) == 600
+    assert seen.value == 600
+
+
 # matches that begin with each letter of KEYWORD_STARTS, in both cases
 _BEGINNINGS = {
     P.KW_SSN: "ssn|social sec|tax id|tin|ſsn",
