@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 
@@ -14,6 +15,8 @@ import numpy as np
 REMEMBERED = 1_000_000
 #: Words encoded at a time.
 TOGETHER = 512
+#: Texts whose words are held at a time: few, so that they stay in the caches.
+TEXTS = 32
 _PLAIN = re.compile(rb"[a-z]+[.,]\Z")
 
 
@@ -44,14 +47,18 @@ class WordIds(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; bytes.split() parts at ASCII white space."""
+        return list(chain.from_iterable(map(self._encode_some, batched(texts, TEXTS))))
+
+    def _encode_some(self, texts: Sequence[str | None]) -> list[bytes]:
         split = [text.encode().lower().split() if text else [] for text in texts]
-        fresh = set(chain.from_iterable(split)).difference(self)
+        # not set.difference(self), which goes through all of a subclass of dict
+        fresh = [word for word in set(chain.from_iterable(split)) if word not in self]
         stems = {word[:-1] if _PLAIN.match(word) else word for word in fresh}
-        new = list(stems.difference(self))
+        new = [stem for stem in stems if stem not in self]
         for at in range(0, len(new), TOGETHER):
             self.learn(new[at : at + TOGETHER])
-        for word in fresh.difference(self):
-            if _PLAIN.match(word):
+        for word in fresh:
+            if word not in self and _PLAIN.match(word):
                 self[word] = self[word[:-1]] + self[word[-1:]]
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
