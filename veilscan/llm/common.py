@@ -41,7 +41,18 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(tables: list[DataFrame]) -> None:
+    """Delete tables that ``keep`` wrote, once all that reads them has run, and
+    empty the list."""
+    while tables:
+        table = tables.pop()
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

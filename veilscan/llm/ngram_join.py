@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import keep, prepare
+from veilscan.llm.common import forget, keep, prepare
 from veilscan.llm.graph import components
 from veilscan.llm.hashing import U, mix64, shingle_sets
 
@@ -37,7 +37,8 @@ COUNT_CHUNK = 1 << 12
 #: Bits of a sketch, at most, in the comparison before that of the sets.
 MOST_BITS = 1 << 17
 #: 64-bit words of the sketches that a join condition compares; a power of two.
-SHORT_WORDS = 16
+#: Each of a document's buckets brings them along.
+SHORT_WORDS = 8
 #: Pairs up to this number are sent to the texts; more meet them in a shuffle.
 SMALL_ROWS = 500_000
 #: Members of a pair's first document that one task's group may hold.
@@ -74,11 +75,16 @@ def link_documents(
 
     buckets = keep(_buckets(named, words, percent, _rarity(profile)))
     stars = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n", "leader_n")
-    found = _links(texts, sketches, _sized(stars, "n", "leader_n", percent), words, percent)
+    scrap: list[DataFrame] = []
+    found = _links(texts, sketches, _sized(stars, "n", "leader_n", percent), words, percent, scrap)
     groups = components(linked.unionByName(found))
-    late = keep(_links(texts, sketches, _between_components(buckets, groups, short, percent), words, percent))
+    forget(scrap)
+    pairs = _between_components(buckets, groups, short, percent, scrap)
+    late = keep(_links(texts, sketches, pairs, words, percent, scrap))
     if not late.isEmpty():
         groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late))
+    scrap += [buckets, late]
+    forget(scrap)
     return (
         copies.join(classes, "content")
         .join(groups, "id", "left")
@@ -306,12 +312,14 @@ def _sized(pairs: DataFrame, n: str, other: str, percent: int) -> DataFrame:
     return pairs.where(f"100 * least({n}, {other}) >= {percent} * greatest({n}, {other})").select("a", "b").distinct()
 
 
-def _between_components(buckets: DataFrame, groups: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+def _between_components(
+    buckets: DataFrame, groups: DataFrame, short: DataFrame, percent: int, scrap: list[DataFrame]
+) -> DataFrame:
     """Pairs of a bucket that are still in different components and were not
     compared: those outside the leader's component with all. A bucket whose
     members are one component, as in a group of copies, has none. The join
-    keeps a pair only if short sketches leave a link possible, and only in the
-    first bucket that its documents share."""
+    keeps a pair only if short sketches leave a link possible; from each bucket
+    that its documents share comes a row of two numbers, of which one is left."""
     members = (
         buckets.where("members > 2")
         .join(groups, "id", "left")
@@ -324,10 +332,11 @@ def _between_components(buckets: DataFrame, groups: DataFrame, short: DataFrame,
         .select("bucket", "main")
     )
     members = keep(members.join(mixed, "bucket").where("id <> leader").drop("leader"))
-    # a document is in as many buckets as it sent keys, at most
-    own = members.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
-    own = own.join(short, "id").selectExpr("id", "own", *[f"short[{i}] s{i}" for i in range(SHORT_WORDS)])
-    members = keep(members.join(own, "id").withColumn("before", F.expr("filter(own, b -> b < bucket)")).drop("own"))
+    scrap.append(members)
+    # a document is in as many buckets as it sent keys, at most: a row must not
+    # name the others, or their number would count twice
+    words = short.selectExpr("id", *[f"short[{i}] s{i}" for i in range(SHORT_WORDS)])
+    members = members.join(words, "id")
     x, y = members.where("component <> main").alias("x"), members.alias("y")
     distance = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SHORT_WORDS))
     tests = [
@@ -335,7 +344,6 @@ def _between_components(buckets: DataFrame, groups: DataFrame, short: DataFrame,
         "x.component <> y.component",
         f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)",
         f"{100 + percent} * ({distance}) <= {100 - percent} * (x.n + y.n)",
-        "not arrays_overlap(x.before, y.before)",
     ]
     pairs = x.join(y, F.expr(" and ".join(f"({t})" for t in tests)))
     return pairs.selectExpr("least(x.id, y.id) a", "greatest(x.id, y.id) b").distinct()
@@ -344,11 +352,16 @@ def _between_components(buckets: DataFrame, groups: DataFrame, short: DataFrame,
 # --- verification -----------------------------------------------------------
 
 
-def _links(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(
+    texts: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, percent: int, scrap: list[DataFrame]
+) -> DataFrame:
     """The linked ones of the pairs (a, b): sketches, a small part of the texts
-    in size, decide most; the sets of shingles decide the rest."""
-    near = _matched(sketches, keep(pairs), bytes_of, lambda a, b: sketches_near(a, b, percent))
-    return _matched(texts, keep(near), lambda column: shingle_sets(column, words), lambda a, b: sets_linked(a, b, percent))
+    in size, decide most; the sets of shingles decide the rest. The tables that
+    are no longer needed when the result has been read are added to ``scrap``."""
+    pairs = keep(pairs)
+    near = keep(_matched(sketches, pairs, bytes_of, lambda a, b: sketches_near(a, b, percent)))
+    scrap += [pairs, near]
+    return _matched(texts, near, lambda column: shingle_sets(column, words), lambda a, b: sets_linked(a, b, percent))
 
 
 def _matched(payloads: DataFrame, pairs: DataFrame, items, test) -> DataFrame:
