@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import slow
 from veilscan.functions import scalars as S
 from veilscan.functions.sql import register_functions, register_scan_functions, register_scan_view
+from veilscan.operators import masking
 from veilscan.operators.detectors import Detector, register_detector
 from veilscan.operators.masking import mask_array, mask_findings
 from veilscan.operators.scan import scan_table
@@ -84,6 +87,48 @@ def test_in_row_and_relational_masking_agree(spark):
     assert a == b and len(a) > 200
 
 
+def some_findings():
+    pick = random.Random(11)
+    rows = []
+    for n in range(900):
+        path = None if n % 19 == 0 else "hot.mbox" if n % 3 == 0 else f"d{pick.randrange(60)}"
+        phone = [f"412-823-{pick.randrange(100, 140):04}" for _ in range(3)]
+        category, match = pick.choice([("Phone Number", phone[0]), ("Email Address", f"j{pick.randrange(40)}@x.org"), ("Document Marking (CMMC)", "CUI")])
+        redact = [f"pw{pick.randrange(30)}"] if n % 7 == 0 else [] if n % 5 == 0 else None
+        context = f"{match} {phone[1]} — j{pick.randrange(40)}@x.org pw{pick.randrange(30)} {phone[2][4:]}"
+        rows.append((path, category, match, context, pick.choice([None, "", f"re {phone[1]}"]), "J <j@x.org>", redact, n % 5, n))
+    return rows
+
+
+@pytest.mark.parametrize("small", [0, 20, 256])
+def test_a_documents_size_changes_nothing(spark, monkeypatch, small):
+    monkeypatch.setattr(masking, "SMALL", small)
+    rows = some_findings()
+    found = spark.createDataFrame(rows, FINDING + ", line int, start int").repartition(5)
+    got = {r["start"]: (r["match"], r["context"], r["subject"]) for r in mask_findings(found).collect()}
+
+    def hide(value):
+        return value[0] + "*" * (value.index("@") - 1) + value[value.index("@"):] if "@" in value else "***-***-" + value[-4:]
+
+    documents = {}
+    for path, category, match, _, _, _, redact, line, start in rows:
+        values = documents.setdefault(path, {})
+        for value, kind in [*((v, 0) for v in redact or ()), *([(match, 1)] if category != "Document Marking (CMMC)" else [])]:
+            values[value] = min(values.get(value, (kind, line, start)), (kind, line, start))
+    assert len(got) == len(rows)
+    for path, category, match, context, subject, _, _, _, start in rows:
+        for value, (kind, *_) in sorted(documents[path].items(), key=lambda e: (-len(e[0]), e[1])):
+            masked = hide(value) if kind else "********"
+            context, subject = context.replace(value, masked), subject and subject.replace(value, masked)
+        assert got[start] == (match if category == "Document Marking (CMMC)" else hide(match), context, subject)
+
+
+def test_no_row_for_each_place_of_an_ordinary_document(spark):
+    found = spark.createDataFrame(some_findings(), FINDING + ", line int, start int").where("path like 'd%'")
+    plan = mask_findings(found)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_sql_functions(spark):
     assert set(register_functions(spark)) == {"pii_mask", "pii_category_slug", "pii_csv_safe", "pii_luhn", "pii_aba"}
     row = spark.sql(
